@@ -99,3 +99,34 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             break
         totals = now
     return spark.createDataFrame([], "node bigint, root bigint") if now[0] == 0 else star.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(star.select("b", "b").distinct())
+
+
+def bounded_sample(rows: DataFrame, label: str, per_label: int, key: str = "doc_id") -> DataFrame:
+    """About ``per_label`` of the ``rows`` of each label, chosen by a hash of ``key``, for fitting on the driver.
+
+    Labels are counted over all rows; a row stays where its hash lies in the first
+    ``per_label / count`` of the range, so the choice does not depend on order or partitions. Null labels
+    are dropped. The result has at most ``2 * per_label`` rows for each label.
+    """
+    known = rows.where(F.col(label).isNotNull())
+    counts = {r[0]: r[1] for r in known.groupBy(label).count().collect()}  # a row for each label
+    share = F.coalesce(*(F.when(F.col(label) == value, F.lit(min(1.0, per_label / n))) for value, n in counts.items()), F.lit(0.0)) if counts else F.lit(0.0)
+    place = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), F.col(key)), 11) / F.lit(float(1 << 53))
+    return known.where(place < share).limit(2 * per_label * max(1, len(counts)))
+
+
+def sigmoid_fit(margins, labels, weights, rounds: int = 100) -> tuple[float, float]:
+    """``(a, b)`` of the weighted logistic fit of ``labels`` on ``a * margin + b``, by Newton's method."""
+    import numpy as np
+
+    x = np.stack([np.asarray(margins, float), np.ones(len(margins))], 1)
+    y, w, p = np.asarray(labels, float), np.asarray(weights, float), np.zeros(2)
+    # labels drawn in from 0 and 1 as Platt proposes, so that separable margins have a finite fit
+    y = np.where(y > 0.5, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+    for _ in range(rounds):
+        q = 1 / (1 + np.exp(-np.clip(x @ p, -30, 30)))
+        step = np.linalg.solve((x * (w * q * (1 - q))[:, None]).T @ x + 1e-9 * np.eye(2), x.T @ (w * (y - q)) - 1e-9 * p)
+        p = p + np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(p[0]), float(p[1])
