@@ -299,16 +299,16 @@ def labelled_pages(n: int = 240, seed: int = 3) -> list[tuple[str, list[int]]]:
                 body.append(apart())
         if maybe(0.15):
             body.append(element("footer", 0, element("p", 0, words(1, 10))))
-        shape = int(rng.integers(5))
+        shape = int(rng.integers(6))
         if shape < 3:
             story = element("article", 1, *body, attributes=pick("", "", named("post", "entry", "article")))
             if maybe(0.3):
                 story = element(pick("main", "div"), 1, story, attributes=named("content", "main"))
         elif shape == 3:
             story = element("main", 1, *body, attributes=pick("", named("content")))
-        else:
+        elif shape == 4:
             story = element("div", 1, *body, attributes=named("content", "article", "post", "entry", "story"))
-        parts = [story]
+        parts = body if shape == 5 else [story]
         top = [menu()] if maybe(0.8) else []
         if maybe(0.4):
             top.insert(0, element("header", 0, *([element("h1", 0, link())] if maybe(0.4) else [element("p", 0, words(1, 6))]), *([menu()] if maybe(0.5) else [])))
