@@ -150,8 +150,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label: i
     return train([r[1] for r in rows], [r[2] for r in rows], [counts[r[2]] / got[r[2]] for r in rows])
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """``keep`` and ``score`` (0 to 1, higher where class 1 is likelier) of every row.
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text", into: str = "score") -> DataFrame:
+    """``keep`` and the score ``into`` (0 to 1, higher where class 1 is likelier) of every row.
 
     Null, empty and blank texts have no features and get the score of the bias. Texts are read whole;
     repeated rows get equal scores; an empty table gives an empty one; no other column is read.
@@ -161,7 +161,13 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         features = Features(m.bits)
-        return common.per_document(batches, text, lambda texts: {"score": pa.array([m.score(features(t)) for t in texts], pa.float64())}, keep)
+        return common.per_document(batches, text, lambda texts: {into: pa.array([m.score(features(t)) for t in texts], pa.float64())}, keep)
 
     kinds = dict(docs.dtypes)
-    return docs.select(*dict.fromkeys((*keep, text))).mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", score double")
+    return docs.select(*dict.fromkeys((*keep, text))).mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keep) + f", `{into}` double")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = KEEP_FROM) -> DataFrame:
+    """``docs`` that a model fitted on those labelled scores ``threshold`` or more; columns stay as they are."""
+    scored = score(docs, fit(docs, labels), keep=tuple(docs.columns), into="__quality")
+    return scored.where(F.col("__quality") >= threshold).select(docs.columns)
