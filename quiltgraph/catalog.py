@@ -1,9 +1,520 @@
-"""Registered queries of the graph engine and their SQL oracles."""
+"""Registered queries of the graph engine over the relational tables, and their SQL oracles.
 
+Each entry of :data:`ENTRIES` is a query over whole tables with the SQL that gives the same rows.
+``shipments`` links orders, parts and suppliers of line items; ``baskets`` links orders, parts,
+customers and nations (see :mod:`quiltgraph.sources.projection`).
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import metrics
+from .operators import candidates, graph, graph_sampling, matcher, motifs, tree_sampling
+from .plans import orders, ranking
+from .plans.pattern import Pattern, cycle, path
+from .sources.projection import baskets, shipments, table
+from .storage import written
+from .streaming import events
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+TRIANGLE = cycle(0, 10, 20)
+PATH3 = path(0, 10, 1)
+PATH4 = path(0, 10, 1, 20)
+STAR = Pattern((0, 10, 11, 20), ((0, 1, 0), (0, 2, 0), (0, 3, 0)))
+DIAMOND = Pattern((0, 10, 1, 20), ((0, 1, 0), (0, 3, 0), (1, 2, 0), (1, 3, 0), (2, 3, 0)))
+SQUARE = cycle(0, 10, 1, 20)  # on baskets: order, part, order, customer
+LABELED = Pattern((0, 10, 20), ((0, 1, 0), (0, 2, 0), (1, 2, 13)))
+#: Spanning tree, seed and trials of the sampling queries, fixed so that SQL can follow them.
+TREE = tree_sampling.Tree(1, ((1, 0), (1, 2)))
+SEED, TRIALS, BUDGET = 7, 2000, 4000
+WAITING, WINDOW_MS = ("view", "click"), 3_600_000
+
+# --- SQL of the graphs -------------------------------------------------------------------------
+
+_SHIP = """
+items AS (SELECT DISTINCT l_orderkey * 3 AS o, l_partkey * 3 + 1 AS p, l_suppkey * 3 + 2 AS s, {code} AS c FROM lineitem),
+und AS (SELECT least(a, b) AS a, greatest(a, b) AS b, min(c) AS elabel FROM
+  (SELECT o AS a, p AS b, c FROM items UNION ALL SELECT p, s, c FROM items UNION ALL SELECT o, s, c FROM items) GROUP BY 1, 2)"""
+_BASKET = """
+und AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, 0 AS elabel FROM
+  (SELECT l_orderkey * 4 AS a, l_partkey * 4 + 1 AS b FROM lineitem UNION ALL SELECT o_orderkey * 4, o_custkey * 4 + 2 FROM orders
+   UNION ALL SELECT c_custkey * 4 + 2, c_nationkey::BIGINT * 4 + 3 FROM customer))"""
+
+
+def _graph_sql(edges: str, kinds: int) -> str:
+    return f"""WITH RECURSIVE {edges},
+both_ways AS (SELECT a AS src, b AS dst, elabel FROM und UNION ALL SELECT b, a, elabel FROM und),
+dg AS (SELECT src AS vid, count(*)::INTEGER AS deg FROM both_ways GROUP BY 1),
+raw AS (SELECT vid, deg, ((vid % {kinds}) * 10 + (vid // {kinds}) % 3)::INTEGER AS raw_label FROM dg),
+codes AS (SELECT raw_label, (row_number() OVER (ORDER BY min(vid)) - 1)::INTEGER AS label FROM raw GROUP BY 1),
+v AS (SELECT vid, raw_label, label, deg FROM raw JOIN codes USING (raw_label)),
+e AS (SELECT src, dst, elabel::INTEGER AS elabel, x.label AS src_label, y.label AS dst_label, x.deg AS src_deg, y.deg AS dst_deg, x.raw_label AS src_raw, y.raw_label AS dst_raw
+  FROM both_ways JOIN v x ON x.vid = src JOIN v y ON y.vid = dst)"""
+
+
+SHIP = _graph_sql(_SHIP.format(code="0"), 3)
+SHIP_LABELED = _graph_sql(_SHIP.format(code="(ascii(l_returnflag) - ascii('A'))"), 3)
+BASKET = _graph_sql(_BASKET, 4)
+
+
+def _embeddings(p: Pattern) -> str:
+    """FROM and WHERE of all embeddings of a pattern."""
+    order = orders.exact(p)[0] if p.size > 1 else (0,)
+    parts, seen = [f"(SELECT vid AS v FROM v WHERE raw_label = {p.labels[order[0]]}) c{order[0]}"], [order[0]]
+    for b in order[1:]:
+        back = [a for a in seen if a in p.neighbors[b]]
+        first = f"(SELECT src, dst AS v FROM e WHERE src_raw = {p.labels[back[0]]} AND dst_raw = {p.labels[b]} AND elabel = {p.edge_label[back[0], b]}) c{b} ON c{b}.src = c{back[0]}.v"
+        more = "".join(f" AND EXISTS (SELECT 1 FROM e WHERE src = c{a}.v AND dst = c{b}.v AND elabel = {p.edge_label[a, b]})" for a in back[1:])
+        unlike = "".join(f" AND c{a}.v <> c{b}.v" for a in seen if p.labels[a] == p.labels[b] and a not in p.neighbors[b])
+        parts.append(f"JOIN {first}{more}{unlike}")
+        seen.append(b)
+    return "FROM " + " ".join(parts)
+
+
+def _count_sql(p: Pattern, start: str = SHIP) -> str:
+    return f"{start} SELECT count(*)::BIGINT AS n {_embeddings(p)}"
+
+
+# --- SQL of candidate spaces -------------------------------------------------------------------
+
+
+def _initial_sql(p: Pattern) -> str:
+    """CTEs ``cv0(qv, v)`` and ``ce0(qs, qd, src, dst)`` of the first candidates."""
+    needed = ", ".join(f"({v}, {p.labels[v]}, {len(p.neighbors[v])})" for v in range(p.size))
+    pairs = ", ".join(f"({a}, {b}, {e}, {p.labels[a]}, {p.labels[b]})" for (a, b), e in sorted(p.edge_label.items()))
+    return f""",
+qv(qv, raw_label, q_deg) AS (VALUES {needed}),
+qe(qs, qd, elabel, src_raw, dst_raw) AS (VALUES {pairs}),
+va AS (SELECT qv, vid AS v FROM v JOIN qv USING (raw_label) WHERE deg >= q_deg),
+ea AS (SELECT qs, qd, src, dst FROM e JOIN qe USING (elabel, src_raw, dst_raw) WHERE (qs, src) IN (SELECT (qv, v) FROM va) AND (qd, dst) IN (SELECT (qv, v) FROM va)),
+{_support_sql("cv0", "ea")}, {_alive_sql("ce0", "ea", "cv0")}"""
+
+
+def _support_sql(name: str, edges: str) -> str:
+    return f"{name} AS (SELECT qs AS qv, src AS v FROM {edges} GROUP BY qs, src HAVING count(DISTINCT qd) = (SELECT q_deg FROM qv WHERE qv.qv = {edges}.qs))"
+
+
+def _alive_sql(name: str, edges: str, vertices: str) -> str:
+    return f"{name} AS (SELECT qs, qd, src, dst FROM {edges} WHERE (qs, src) IN (SELECT (qv, v) FROM {vertices}) AND (qd, dst) IN (SELECT (qv, v) FROM {vertices}))"
+
+
+def _neighbor_sql(name: str, edges: str, p: Pattern) -> str:
+    rows = ", ".join(f"({v}, {label}, {n}, {len({x for u, x in p.neighbor_labels if u == v})})" for (v, label), n in p.neighbor_labels.items())
+    return f"""{name} AS (SELECT qs AS qv, src AS v FROM (
+  SELECT c.qs, c.src, r.labels FROM {edges} c JOIN qv d ON d.qv = c.qd JOIN (VALUES {rows}) r(qs, raw_label, needed, labels) ON r.qs = c.qs AND r.raw_label = d.raw_label
+  GROUP BY c.qs, c.src, r.raw_label, r.needed, r.labels HAVING count(DISTINCT c.dst) >= r.needed) GROUP BY qs, src, labels HAVING count(*) = labels)"""
+
+
+def _triangle_sql(name: str, edges: str, p: Pattern, support: bool) -> str:
+    tests = [
+        f"(qs, qd) <> ({a}, {b}) OR EXISTS (SELECT 1 FROM {edges} f JOIN {edges} g ON g.dst = f.dst WHERE f.qs = {a} AND f.qd = {w} AND f.src = {edges}.src AND g.qs = {b} AND g.qd = {w} AND g.src = {edges}.dst)"
+        for a, b, w in p.triangles
+    ]
+    if support:
+        many = {(a, b): sum(t[:2] == (a, b) for t in p.triangles) for a, b in p.edge_label}
+        tests += [f"(qs, qd) <> ({a}, {b}) OR (src, dst) IN (SELECT (src, dst) FROM support WHERE n >= {n})" for (a, b), n in many.items() if n]
+    return f"{name} AS (SELECT * FROM {edges} WHERE " + " AND ".join(f"({t})" for t in tests or ["true"]) + ")"
+
+
+def _square_sql(name: str, edges: str, p: Pattern) -> str:
+    tests = []
+    for a, b, x, y, ax, by in p.four_cycles:
+        diagonals = (f" AND EXISTS (SELECT 1 FROM {edges} d WHERE d.qs = {a} AND d.qd = {x} AND d.src = {edges}.src AND d.dst = f.dst)" if ax else "") + (f" AND EXISTS (SELECT 1 FROM {edges} d WHERE d.qs = {b} AND d.qd = {y} AND d.src = {edges}.dst AND d.dst = g.dst)" if by else "")
+        tests.append(
+            f"((qs, qd) <> ({a}, {b}) OR EXISTS (SELECT 1 FROM {edges} f JOIN {edges} h ON h.src = f.dst JOIN {edges} g ON g.dst = h.dst WHERE f.qs = {b} AND f.qd = {x} AND f.src = {edges}.dst AND f.dst <> {edges}.src"
+            f" AND h.qs = {x} AND h.qd = {y} AND g.qs = {a} AND g.qd = {y} AND g.src = {edges}.src AND g.dst <> {edges}.dst{diagonals}))"
+        )
+    return f"{name} AS (SELECT * FROM {edges} WHERE " + " AND ".join(tests or ["true"]) + ")"
+
+
+def _back_sql(name: str, edges: str) -> str:
+    return f"{name} AS (SELECT * FROM {edges} WHERE (qd, qs, dst, src) IN (SELECT (qs, qd, src, dst) FROM {edges}))"
+
+
+_SUPPORT = """,
+support AS (SELECT x.src, x.dst, count(*) AS n FROM e x JOIN e y ON y.src = x.src JOIN e z ON z.src = x.dst AND z.dst = y.dst GROUP BY 1, 2)"""
+
+
+def _rounds_sql(p: Pattern, rounds: int, support: bool) -> str:
+    """CTEs ``cv<r>`` and ``ce<r>`` of rounds 1 to ``rounds``."""
+    found = []
+    for r in range(rounds):
+        found += [
+            _neighbor_sql(f"nv{r}", f"ce{r}", p), _alive_sql(f"na{r}", f"ce{r}", f"nv{r}"), _triangle_sql(f"nt{r}", f"na{r}", p, support), _square_sql(f"ns{r}", f"nt{r}", p),
+            _back_sql(f"nb{r}", f"ns{r}"), _support_sql(f"cv{r + 1}", f"nb{r}"), _alive_sql(f"ce{r + 1}", f"nb{r}", f"cv{r + 1}"),
+        ]
+    return ",\n" + ",\n".join(found)
+
+
+# --- SQL of orders and scores ------------------------------------------------------------------
+
+
+def _orders_sql(p: Pattern, width: int | None = None, start: str = "WITH RECURSIVE ") -> str:
+    """CTE ``ords(order_id, ord)``; ``ord`` is a list."""
+    rank = {v: i for i, v in enumerate(orders.ranked(p))}
+    vertices = ", ".join(f"({v}, {rank[v]})" for v in range(p.size))
+    links = ", ".join(f"({a}, {b})" for a, b in sorted(p.edge_label))
+    head = f"{start}pv(v, r) AS (VALUES {vertices}), pe(a, b) AS (VALUES {links}),\n"
+    grow = "SELECT DISTINCT list_append(ord, pe.b) AS ord, list_append(ranks, pv.r) AS ranks FROM {level} JOIN pe ON list_contains(ord, pe.a) AND NOT list_contains(ord, pe.b) JOIN pv ON pv.v = pe.b"
+    cut = (lambda q: q) if width is None else (lambda q: f"SELECT ord, ranks FROM (SELECT *, row_number() OVER (ORDER BY ranks) AS n FROM ({q})) WHERE n <= {width}")
+    levels = [f"l1 AS ({cut('SELECT [v] AS ord, [r] AS ranks FROM pv')})"] + [f"l{k} AS ({cut(grow.format(level=f'l{k - 1}'))})" for k in range(2, p.size + 1)]
+    return head + ",\n".join(levels) + f",\nords AS (SELECT (row_number() OVER (ORDER BY ranks) - 1)::INTEGER AS order_id, ord FROM l{p.size})"
+
+
+_JOIN = "array_to_string(ord, ',')"
+
+
+def _scores_sql(p: Pattern) -> str:
+    """CTEs up to ``scores(order_id, k, est, weight, score)`` with exact prefix cardinalities on shipments."""
+    keys = sorted({orders.prefix_key(o[:k]) for o in orders.exact(p) for k in range(1, p.size + 1)})
+    counts = " UNION ALL ".join(f"SELECT '{k}' AS prefix_key, count(*)::DOUBLE AS est {_embeddings(p.induced(map(int, k.split(','))))}" for k in keys)
+    return f"""{SHIP},
+ests AS ({counts}),
+{_orders_sql(p, start="")},
+pref AS (SELECT order_id, k::INTEGER AS k, array_to_string(list_sort(ord[1:k]), ',') AS prefix_key FROM ords, range(1, {p.size + 1}) t(k)),
+scores AS (SELECT order_id, k, est, 1.0::DOUBLE AS weight, sum(est) OVER (PARTITION BY order_id ORDER BY k) AS score FROM pref JOIN ests USING (prefix_key))"""
+
+
+# --- queries -----------------------------------------------------------------------------------
+
+
+def _space(spark: SparkSession, sf: str, pattern: Pattern, rounds: int, of: Query = shipments, support: bool = False) -> candidates.CandidateSpace:
+    """The candidates after so many rounds; what is read more than once is written to the shared folder first."""
+    g = of(spark, sf).stored("graph")
+    pairs = written(motifs.edge_support(g), "edge-support") if support else None
+    v, e = candidates.initial(g, pattern)
+    for _ in range(rounds):
+        v, e = candidates.refine(pattern, written(v, "candidates"), written(e, "candidates"), support=pairs)
+    return candidates.CandidateSpace(pattern, v, e)
+
+
+def _held(space: candidates.CandidateSpace) -> candidates.CandidateSpace:
+    return candidates.CandidateSpace(space.pattern, written(space.vertices, "candidates"), written(space.edges, "candidates"))
+
+
+def _planned(spark: SparkSession, sf: str, pattern: Pattern = TRIANGLE) -> tuple[DataFrame, DataFrame]:
+    """Orders, and their scores from exact prefix cardinalities."""
+    found = orders.orders_frame(spark, pattern)
+    prefixes = orders.prefixes_frame(spark, pattern, found)
+    g = shipments(spark, sf).stored("planned")
+    return found, ranking.progress(prefixes, written(ranking.exact_estimates(g, pattern, prefixes), "estimates"))
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
+
+
+def _graph_summary(spark, sf):
+    return graph.summary(shipments(spark, sf))
+
+
+def _core_bound(rounds: int) -> Query:
+    return lambda spark, sf: graph.core_bounds(baskets(spark, sf).stored("core"), rounds)
+
+
+def _core_sql(rounds: int) -> str:
+    steps = "".join(
+        f""",
+b{r + 1} AS (SELECT vid, least(bound, coalesce(h, 0))::INTEGER AS bound FROM b{r} LEFT JOIN (SELECT src AS vid, max(least(bound, pos)) AS h FROM
+  (SELECT src, bound, row_number() OVER (PARTITION BY src ORDER BY bound DESC) AS pos FROM e JOIN b{r} ON b{r}.vid = e.dst) GROUP BY 1) USING (vid))"""
+        for r in range(rounds)
+    )
+    return f"{BASKET},\nb0 AS (SELECT vid, deg AS bound FROM v){steps} SELECT vid, bound FROM b{rounds}"
+
+
+def _tree_frames(spark, sf):
+    space = _held(_space(spark, sf, TRIANGLE, 0))
+    return space, tree_sampling.subtree_counts(space, TREE)
+
+
+def _candidate_tree_counts(spark, sf):
+    _, counts = _tree_frames(spark, sf)
+    return counts[TREE.root].select("v", "n")
+
+
+def _tree_hits(spark, sf):
+    space, g = _held(_space(spark, sf, TRIANGLE, 0)), shipments(spark, sf)
+    return tree_sampling.hits(g, space, TREE, tree_sampling.sampled(space, TREE, 0, TRIALS, SEED)).select("trial", "v0", "v1", "v2")
+
+
+def _tree_estimate(spark, sf):
+    space, g = _held(_space(spark, sf, TRIANGLE, 0)), shipments(spark, sf)
+    hit = tree_sampling.hits(g, space, TREE, tree_sampling.sampled(space, TREE, 0, TRIALS, SEED)).agg(F.count("*").alias("successes"))
+    return hit.crossJoin(tree_sampling.tree_total(space, TREE)).select("successes", "total", F.round(F.col("successes") / F.lit(TRIALS) * F.col("total"), 6).alias("estimate"))
+
+
+_TREE_SQL = f"""{SHIP}{_initial_sql(TRIANGLE)},
+roots AS (SELECT v, ((SELECT count(*) FROM ce0 WHERE qs = 1 AND qd = 0 AND src = v) * (SELECT count(*) FROM ce0 WHERE qs = 1 AND qd = 2 AND src = v))::DOUBLE AS n FROM cv0 WHERE qv = 1),
+rooted AS (SELECT v, n, sum(n) OVER (ORDER BY v % {tree_sampling.BUCKETS}, v) AS high, sum(n) OVER () AS total FROM roots WHERE n > 0)"""
+_DRAW = "('0x' || substr(md5({seed} || ':' || trial || ':' || {q}), 1, 8))::BIGINT / 4294967296.0"
+_HITS_SQL = f"""{_TREE_SQL},
+trials AS (SELECT range AS trial, {", ".join(_DRAW.format(seed=f"'{SEED}'", q=f"'{q}'") + f" AS u{q}" for q in range(3))} FROM range({TRIALS})),
+step AS (SELECT qs, qd, src, dst, row_number() OVER (PARTITION BY qs, qd, src ORDER BY dst) AS high, count(*) OVER (PARTITION BY qs, qd, src) AS total FROM ce0 WHERE qs = 1),
+drawn AS (SELECT trial, a.dst AS v0, r.v AS v1, c.dst AS v2 FROM trials
+  JOIN rooted r ON r.high - r.n <= floor(u1 * r.total) AND floor(u1 * r.total) < r.high
+  JOIN step a ON a.qd = 0 AND a.src = r.v AND a.high - 1 <= floor(u0 * a.total) AND floor(u0 * a.total) < a.high
+  JOIN step c ON c.qd = 2 AND c.src = r.v AND c.high - 1 <= floor(u2 * c.total) AND floor(u2 * c.total) < c.high),
+hit AS (SELECT * FROM drawn WHERE EXISTS (SELECT 1 FROM e WHERE e.src = v0 AND e.dst = v2))"""
+
+
+def _strata(spark, sf):
+    space = _held(_space(spark, sf, PATH4, 0))
+    return _rounded(graph_sampling.estimate(space, BUDGET, order=(0, 1, 2, 3), seed=SEED, least=4, checkpoint=False))
+
+
+def _strata_sql() -> str:
+    def level(k: int, v: int, row: list[str]) -> str:
+        cols = ", ".join(f"f.{c}" for c in row)
+        key = " || ':' || ".join(["'7'", *(f"f.{c}" for c in row), "c.dst"])
+        return f"""x{k} AS (SELECT {cols}, c.dst AS v{v}, w, ub, count(*) OVER (PARTITION BY {cols}) AS n,
+  row_number() OVER (PARTITION BY {cols} ORDER BY ('0x' || substr(md5({key}), 1, 8))::BIGINT, c.dst) AS place
+  FROM f{k - 1} f JOIN ce0 c ON c.qs = {v - 1} AND c.qd = {v} AND c.src = f.v{v - 1}),
+y{k} AS (SELECT *, least(greatest(ceil(n * 0.5), 4), ub, n)::BIGINT AS kept FROM x{k}),
+f{k} AS (SELECT {", ".join([*row, f"v{v}"])}, w * n / kept AS w, greatest(ub // kept, 1) AS ub FROM y{k} WHERE place <= kept)"""
+
+    return f"""{SHIP}{_initial_sql(PATH4)},
+f0 AS (SELECT v AS v0, 1.0::DOUBLE AS w, greatest({BUDGET} // (SELECT count(*) FROM cv0 WHERE qv = 0), 1) AS ub FROM cv0 WHERE qv = 0),
+{level(1, 1, ["v0"])},
+{level(2, 2, ["v0", "v1"])}
+SELECT round(sum(w), 6) AS estimate FROM f2 f JOIN ce0 c ON c.qs = 2 AND c.qd = 3 AND c.src = f.v2"""
+
+
+def _extendable(spark, sf):
+    space = _held(_space(spark, sf, TRIANGLE, 0))
+    frontier = space.edges.where("qs = 0 and qd = 1").select(F.col("src").alias("v0"), F.col("dst").alias("v1"))
+    return graph_sampling.extended(space, frontier, (0, 1), 2).groupBy("v0", "v1").agg(F.count("*").alias("n"))
+
+
+def _root_choice(spark, sf):
+    return spark.createDataFrame([(candidates.root_of(shipments(spark, sf), TRIANGLE),)], "root int")
+
+
+def _matching(spark, sf):
+    space = _held(_space(spark, sf, STAR, 0))
+    return candidates.matching_filter(STAR, space.vertices, space.edges).select("qv", "v")
+
+
+def _hall_sql() -> str:
+    """Hall's condition: every set of pattern neighbours has as many candidate neighbours."""
+    tests = []
+    for u in range(STAR.size):
+        near = STAR.neighbors[u]
+        for mask in range(1, 1 << len(near)):
+            some = [n for i, n in enumerate(near) if mask >> i & 1]
+            tests.append(f"(qv <> {u} OR (SELECT count(DISTINCT dst) FROM ce0 WHERE qs = {u} AND src = v AND qd IN ({', '.join(map(str, some))})) >= {len(some)})")
+    return f"{SHIP}{_initial_sql(STAR)} SELECT qv, v FROM cv0 WHERE " + " AND ".join(tests)
+
+
+def _events_ms(spark, sf):
+    return table(spark, sf, "events").withColumn("ms", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(ts AS timestamp_ntz)) div 1000"))
+
+
+def _batches(spark, sf):
+    return events.batches(_events_ms(spark, sf), "user_id", "ms", "event_type", "event_id", WINDOW_MS, WAITING)
+
+
+_BATCH_SQL = f"""WITH RECURSIVE ev AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, event_type IN ('view', 'click') AS waits, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS i FROM events),
+fold AS (SELECT user_id, i, ms, waits, ms AS start, 1::BIGINT AS b FROM ev WHERE i = 1
+  UNION ALL SELECT e.user_id, e.i, e.ms, e.waits, CASE WHEN e.waits AND f.waits AND e.ms < f.start + {WINDOW_MS} THEN f.start ELSE e.ms END, CASE WHEN e.waits AND f.waits AND e.ms < f.start + {WINDOW_MS} THEN f.b ELSE f.b + 1 END
+  FROM fold f JOIN ev e ON e.user_id = f.user_id AND e.i = f.i + 1)
+SELECT user_id, min(start) AS batch_start_ms, max(ms) AS last_ms, count(*)::BIGINT AS n_events, NOT bool_and(waits) AS immediate FROM fold GROUP BY user_id, b"""
+
+
+def _tumbling(spark, sf):
+    found = events.tumbling(table(spark, sf, "events"), "ts", "event_type", "1 hour")
+    return found.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "event", "n")
+
+
+def _session(spark, sf):
+    found, scores = _planned(spark, sf)
+    return events.session_events(found, scores, TRIANGLE.size)
+
+
+def _session_sql() -> str:
+    return f"""{_scores_sql(TRIANGLE)},
+every AS (SELECT 0 AS stage, 0 AS level, 0 AS o, i AS part, e AS event, NULL::INTEGER AS order_id, NULL::INTEGER AS k, NULL::DOUBLE AS value FROM (VALUES (0, 'index_loading'), (1, 'index_loaded'), (2, 'session_started')) t(i, e)
+ UNION ALL SELECT 1, 0, order_id, 0, 'order_generated', order_id, NULL, NULL FROM ords
+ UNION ALL SELECT 2, k, order_id, 0, 'prefix_progress', order_id, k, est FROM scores UNION ALL SELECT 2, k, order_id, 1, 'score_updated', order_id, k, score FROM scores
+ UNION ALL SELECT 2, k, 2147483647, 2, 'ranking_updated', NULL, k, NULL FROM scores GROUP BY k
+ UNION ALL SELECT 3, 0, 0, 0, 'session_completed', NULL, NULL, min(score) FROM scores WHERE k = {TRIANGLE.size})"""
+
+
+def _qerrors(spark, sf):
+    stats = graph.label_stats(shipments(spark, sf).vertices)
+    uniform = stats.crossJoin(F.broadcast(stats.agg((F.sum("n") / F.count("*")).alias("est"))))  # one row
+    return _rounded(metrics.summary(uniform, metrics.qerror("n", "est")).crossJoin(uniform.agg(F.sum(metrics.log_qerror("n", "est")).alias("log_total"))))
+
+
+def _exact(pattern: Pattern, of: Callable = shipments) -> Query:
+    return lambda spark, sf: matcher.count(of(spark, sf), pattern)
+
+
+def _cs_vertices(pattern: Pattern, rounds: int, of: Query = shipments, support: bool = False) -> Query:
+    return lambda spark, sf: _space(spark, sf, pattern, rounds, of, support).vertices.select("qv", "v")
+
+
+def _cs_edges(pattern: Pattern, rounds: int, of: Query = shipments, support: bool = False) -> Query:
+    return lambda spark, sf: _space(spark, sf, pattern, rounds, of, support).edges.select("qs", "qd", "src", "dst")
+
+
+def _filtered(kind: str, pattern: Pattern, of: Query = shipments) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        space = _held(_space(spark, sf, pattern, 0, of))
+        if kind == "neighbors":
+            return candidates.neighbor_filter(pattern, space.vertices, space.edges)
+        if kind == "triangles":
+            return candidates.triangle_filter(pattern, space.edges, motifs.edge_support(of(spark, sf)))
+        return candidates.four_cycle_filter(pattern, space.edges)
+
+    return run
+
+
+def _space_at_fixpoint(spark, sf):
+    space = candidates.build(shipments(spark, sf).stored("fixpoint"), TRIANGLE)
+    return space.vertices.groupBy("qv").agg(F.count("*").alias("n_vertices"))
+
+
+def _of_scores(make: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf: make(*_planned(spark, sf))
+
+
+def _joined(df: DataFrame) -> DataFrame:
+    return df.select("order_id", F.array_join("ord", ",").alias("ord"))
+
+
+_N = TRIANGLE.size
+#: Name: query, SQL (None where SQL cannot say it).
+ENTRIES: dict[str, tuple[Query, str | None]] = {
+    "graph_vertices": (lambda s, d: shipments(s, d).vertices, f"{SHIP} SELECT vid, raw_label, label, deg FROM v"),
+    "graph_edges": (lambda s, d: shipments(s, d).edges, f"{SHIP} SELECT src, dst, elabel, src_label, dst_label, src_deg, dst_deg FROM e"),
+    "graph_edges_labeled": (lambda s, d: shipments(s, d, edge_labels=True).edges.select("src", "dst", "elabel"), f"{SHIP_LABELED} SELECT src, dst, elabel FROM e"),
+    "graph_summary": (_graph_summary, f"{SHIP} SELECT count(*) AS num_vertices, sum(deg)::BIGINT AS num_directed_edges, count(DISTINCT label) AS num_labels, max(deg) AS max_degree, round(sum(deg) / count(*), 6) AS avg_degree FROM v"),
+    "label_recode": (lambda s, d: graph.label_codes(shipments(s, d).vertices.select("vid", "raw_label")), f"{SHIP} SELECT raw_label, label FROM codes"),
+    "label_stats": (lambda s, d: _rounded(graph.label_stats(shipments(s, d).vertices)), f"{SHIP} SELECT label, count(*) AS n, round((0.0001 + count(*)) / (SELECT count(*) FROM v), 6) AS prob FROM v GROUP BY 1"),
+    "label_entropy": (lambda s, d: _rounded(graph.label_entropy(shipments(s, d).vertices)), f"{SHIP}, p AS (SELECT (0.0001::DOUBLE + count(*)) / (SELECT count(*) FROM v) AS p FROM v GROUP BY label) SELECT round(sum(-p * log2(p)), 6) AS entropy FROM p"),
+    "vertices_by_label_rank": (lambda s, d: graph.vertices_by_label(shipments(s, d).vertices), f"{SHIP} SELECT label, vid, deg, row_number() OVER (PARTITION BY label ORDER BY deg DESC, vid) AS position FROM v"),
+    "degree_distribution": (lambda s, d: graph.degree_distribution(shipments(s, d).vertices), f"{SHIP} SELECT deg, count(*) AS n FROM v GROUP BY 1"),
+    "incident_edges": (lambda s, d: graph.incident(shipments(s, d), 4).select("src", "dst", "elabel", "dst_label", "dst_deg"), f"{SHIP} SELECT src, dst, elabel, dst_label, dst_deg FROM e WHERE src = 4"),
+    "edge_lookup": (
+        lambda s, d: graph.edge_between(shipments(s, d), table(s, d, "lineitem").select((F.col("l_orderkey") * 3).alias("src"), (F.col("l_linenumber") * 3 + 1).cast("bigint").alias("dst")).distinct()),
+        f"{SHIP} SELECT q.src, q.dst, e.elabel FROM (SELECT DISTINCT l_orderkey * 3 AS src, (l_linenumber * 3 + 1)::BIGINT AS dst FROM lineitem) q LEFT JOIN e ON e.src = q.src AND e.dst = q.dst",
+    ),
+    "kcore_bound_r3": (_core_bound(3), _core_sql(3)),
+    "kcore": (lambda s, d: graph.core_numbers(baskets(s, d).stored("core")), _core_sql(24).replace("SELECT vid, bound FROM b24", "SELECT vid, bound AS core FROM b24")),
+    "degeneracy": (lambda s, d: graph.core_numbers(baskets(s, d).stored("core")).agg(F.max("core").alias("degeneracy")), _core_sql(24).rsplit("SELECT", 1)[0] + "SELECT max(bound) AS degeneracy FROM b24"),
+    "coloring": (
+        # a proper coloring is not unique: what is compared is that no edge joins equal colors and all vertices have one
+        lambda s, d: _color_check(s, d),
+        f"{BASKET} SELECT count(*) AS colored, 0::BIGINT AS conflicts FROM v",
+    ),
+    "triangle_index": (lambda s, d: motifs.triangle_index(shipments(s, d)), f"{SHIP} SELECT x.src, x.dst, y.dst AS w FROM e x JOIN e y ON y.src = x.src JOIN e z ON z.src = x.dst AND z.dst = y.dst"),
+    "triangle_count": (lambda s, d: motifs.triangles(shipments(s, d)).agg(F.count("*").alias("triangles")), f"{SHIP} SELECT count(*) // 6 AS triangles FROM e x JOIN e y ON y.src = x.src JOIN e z ON z.src = x.dst AND z.dst = y.dst"),
+    "edge_support": (lambda s, d: motifs.edge_support(shipments(s, d)), f"{SHIP}{_SUPPORT} SELECT src, dst, n FROM support"),
+    "four_cycle_index": (
+        lambda s, d: motifs.four_cycle_index(baskets(s, d)),
+        f"{BASKET} SELECT x.src, x.dst, y.dst AS x, z.dst AS y, EXISTS (SELECT 1 FROM e WHERE e.src = x.src AND e.dst = y.dst) AS diag_src, EXISTS (SELECT 1 FROM e WHERE e.src = x.dst AND e.dst = z.dst) AS diag_dst"
+        " FROM e x JOIN e y ON y.src = x.dst AND y.dst <> x.src JOIN e z ON z.src = x.src AND z.dst <> x.dst WHERE EXISTS (SELECT 1 FROM e WHERE e.src = y.dst AND e.dst = z.dst)",
+    ),
+    "four_cycle_count": (lambda s, d: motifs.four_cycle_count(shipments(s, d)), f"{SHIP} SELECT (sum(n * (n - 1) // 2) // 2)::BIGINT AS four_cycles FROM (SELECT x.dst AS u, y.dst AS w, count(*) AS n FROM e x JOIN e y ON x.src = y.src AND x.dst < y.dst GROUP BY 1, 2)"),
+    "motif_summary": (
+        lambda s, d: motifs.summary(baskets(s, d)),
+        f"{BASKET} SELECT (SELECT count(*) // 6 FROM e x JOIN e y ON y.src = x.src JOIN e z ON z.src = x.dst AND z.dst = y.dst) AS triangle_count,"
+        " (SELECT (sum(n * (n - 1) // 2) // 2)::BIGINT FROM (SELECT x.dst AS u, y.dst AS w, count(*) AS n FROM e x JOIN e y ON x.src = y.src AND x.dst < y.dst GROUP BY 1, 2)) AS four_cycle_count, round(avg(deg), 6) AS avg_degree, max(deg) AS max_degree FROM v",
+    ),
+    "root_choice": (_root_choice, f"{SHIP}, q(qv, raw_label) AS (VALUES (0, 0), (1, 10), (2, 20)) SELECT qv::INTEGER AS root FROM q LEFT JOIN v USING (raw_label) GROUP BY qv ORDER BY count(vid), qv DESC LIMIT 1"),
+    "root_candidates": (lambda s, d: candidates.vertex_candidates(shipments(s, d), TRIANGLE), f"{SHIP}{_initial_sql(TRIANGLE)} SELECT qv, v FROM va"),
+    "initial_cs_vertex": (_cs_vertices(TRIANGLE, 0), f"{SHIP}{_initial_sql(TRIANGLE)} SELECT qv, v FROM cv0"),
+    "initial_cs_edge": (_cs_edges(TRIANGLE, 0), f"{SHIP}{_initial_sql(TRIANGLE)} SELECT qs, qd, src, dst FROM ce0"),
+    "neighbor_safety": (_filtered("neighbors", STAR), f"{SHIP}{_initial_sql(STAR)}, {_neighbor_sql('nv', 'ce0', STAR)} SELECT qv, v FROM nv"),
+    "triangle_safety": (_filtered("triangles", TRIANGLE), f"{SHIP}{_initial_sql(TRIANGLE)}{_SUPPORT}, {_triangle_sql('nt', 'ce0', TRIANGLE, True)} SELECT qs, qd, src, dst FROM nt"),
+    "fourcycle_safety": (_filtered("squares", SQUARE, baskets), f"{BASKET}{_initial_sql(SQUARE)}, {_square_sql('ns', 'ce0', SQUARE)} SELECT qs, qd, src, dst FROM ns"),
+    "edge_support_filter": (
+        lambda s, d: candidates.support_filter(PATH3, (v := candidates.vertex_candidates(g := shipments(s, d), PATH3)), candidates.edge_candidates(g, PATH3, v)),
+        f"{SHIP}{_initial_sql(PATH3)} SELECT qv, v FROM cv0",
+    ),
+    "bipartite_safety": (_matching, _hall_sql()),
+    "cs_refined_r2": (_cs_vertices(TRIANGLE, 2, support=True), f"{SHIP}{_initial_sql(TRIANGLE)}{_SUPPORT}{_rounds_sql(TRIANGLE, 2, True)} SELECT qv, v FROM cv2"),
+    "cs_edges_r2": (_cs_edges(TRIANGLE, 2, support=True), f"{SHIP}{_initial_sql(TRIANGLE)}{_SUPPORT}{_rounds_sql(TRIANGLE, 2, True)} SELECT qs, qd, src, dst FROM ce2"),
+    "cs_square_r2": (_cs_vertices(SQUARE, 2, baskets), f"{BASKET}{_initial_sql(SQUARE)}{_rounds_sql(SQUARE, 2, False)} SELECT qv, v FROM cv2"),
+    "cs_sizes_fixpoint": (_space_at_fixpoint, f"{SHIP}{_initial_sql(TRIANGLE)}{_SUPPORT}{_rounds_sql(TRIANGLE, 4, True)} SELECT qv, count(*) AS n_vertices FROM cv4 GROUP BY 1"),
+    "spanning_tree_weights": (
+        lambda s, d: _rounded(tree_sampling.edge_weights(_held(_space(s, d, TRIANGLE, 0)))),
+        f"{SHIP}{_initial_sql(TRIANGLE)} SELECT qs, qd, count(*) AS n, round(count(*) / ((SELECT count(*) FROM cv0 WHERE qv = qs)::DOUBLE * (SELECT count(*) FROM cv0 WHERE qv = qd)), 6) AS density FROM ce0 WHERE qs < qd GROUP BY qs, qd",
+    ),
+    "candidate_tree_counts": (_candidate_tree_counts, f"{_TREE_SQL} SELECT v, n FROM roots WHERE n > 0"),
+    "candidate_tree_total": (lambda s, d: tree_sampling.tree_total(_held(_space(s, d, TRIANGLE, 0)), TREE), f"{_TREE_SQL} SELECT sum(n) AS total FROM roots"),
+    "tree_sample_hits": (_tree_hits, f"{_HITS_SQL} SELECT trial, v0, v1, v2 FROM hit"),
+    "tree_estimate": (_tree_estimate, f"{_HITS_SQL} SELECT count(*) AS successes, (SELECT sum(n) FROM roots) AS total, round(count(*) / {float(TRIALS)} * (SELECT sum(n) FROM roots), 6) AS estimate FROM hit"),
+    "extendable_candidates": (_extendable, f"{SHIP}{_initial_sql(TRIANGLE)} SELECT x.src AS v0, x.dst AS v1, count(*) AS n FROM ce0 x JOIN ce0 y ON y.qs = 0 AND y.qd = 2 AND y.src = x.src JOIN ce0 z ON z.qs = 1 AND z.qd = 2 AND z.src = x.dst AND z.dst = y.dst WHERE x.qs = 0 AND x.qd = 1 GROUP BY 1, 2"),
+    "graph_sample_estimate": (_strata, _strata_sql()),
+    "exact_vertex": (_exact(Pattern((0,), ())), _count_sql(Pattern((0,), ()))),
+    "exact_path3": (_exact(PATH3), _count_sql(PATH3)),
+    "exact_path4": (_exact(PATH4), _count_sql(PATH4)),
+    "exact_triangle": (_exact(TRIANGLE), _count_sql(TRIANGLE)),
+    "exact_square": (_exact(SQUARE, baskets), _count_sql(SQUARE, BASKET)),
+    "exact_diamond": (_exact(DIAMOND), _count_sql(DIAMOND)),
+    "exact_star3": (_exact(STAR), _count_sql(STAR)),
+    "exact_same_label_path": (_exact(path(0, 10, 0)), _count_sql(path(0, 10, 0))),
+    "exact_edge_labeled": (_exact(LABELED, lambda s, d: shipments(s, d, edge_labels=True)), _count_sql(LABELED, SHIP_LABELED)),
+    "match_triangle": (lambda s, d: matcher.match(shipments(s, d), TRIANGLE), f"{SHIP} SELECT c0.v AS v0, c1.v AS v1, c2.v AS v2 {_embeddings(TRIANGLE)}"),
+    "orders_exact_triangle": (lambda s, d: _joined(orders.orders_frame(s, TRIANGLE)), f"{_orders_sql(TRIANGLE)} SELECT order_id, {_JOIN} AS ord FROM ords"),
+    "orders_exact_path4": (lambda s, d: _joined(orders.orders_frame(s, path(0, 0, 1, 0))), f"{_orders_sql(path(0, 0, 1, 0))} SELECT order_id, {_JOIN} AS ord FROM ords"),
+    "orders_beam": (lambda s, d: _joined(orders.orders_frame(s, DIAMOND, 5)), f"{_orders_sql(DIAMOND, 5)} SELECT order_id, {_JOIN} AS ord FROM ords"),
+    "prefix_edges": (
+        lambda s, d: orders.prefix_edges_frame(s, DIAMOND, orders.orders_frame(s, DIAMOND)),
+        f"{_orders_sql(DIAMOND)}, h AS (SELECT order_id, k::INTEGER AS k, list_sort(ord[1:k]) AS head FROM ords, range(1, {DIAMOND.size + 1}) t(k))"
+        " SELECT order_id, k, (list_position(head, a) - 1)::INTEGER AS a, (list_position(head, b) - 1)::INTEGER AS b, 0 AS elabel FROM h JOIN pe ON a < b AND list_contains(head, a) AND list_contains(head, b)",
+    ),
+    "prefix_cardinality": (
+        lambda s, d: ranking.exact_estimates(shipments(s, d).stored("prefixes"), TRIANGLE, orders.prefixes_frame(s, TRIANGLE, orders.orders_frame(s, TRIANGLE))),
+        f"{_scores_sql(TRIANGLE)} SELECT prefix_key, est FROM ests",
+    ),
+    "order_scores": (_of_scores(lambda o, x: x), f"{_scores_sql(TRIANGLE)} SELECT order_id, k, est, weight, score FROM scores"),
+    "order_ranking_by_level": (_of_scores(lambda o, x: ranking.ranking_by_level(x)), f"{_scores_sql(TRIANGLE)} SELECT k, order_id, score, row_number() OVER (PARTITION BY k ORDER BY score, order_id)::INTEGER AS rank FROM scores"),
+    "order_ranking_final": (
+        _of_scores(lambda o, x: ranking.final_ranking(o, x, _N)),
+        f"{_scores_sql(TRIANGLE)} SELECT order_id, {_JOIN} AS ord, score, row_number() OVER (ORDER BY score, order_id)::INTEGER AS rank FROM scores JOIN ords USING (order_id) WHERE k = {_N}",
+    ),
+    "order_topk": (
+        _of_scores(lambda o, x: ranking.top(ranking.final_ranking(o, x, _N), 3)),
+        f"{_scores_sql(TRIANGLE)} SELECT order_id, {_JOIN} AS ord, score, row_number() OVER (ORDER BY score, order_id)::INTEGER AS rank FROM scores JOIN ords USING (order_id) WHERE k = {_N} ORDER BY score, order_id LIMIT 3",
+    ),
+    "best_order": (_of_scores(lambda o, x: ranking.best(x, _N)), f"{_scores_sql(TRIANGLE)} SELECT order_id, score FROM scores WHERE k = {_N} ORDER BY score, order_id LIMIT 1"),
+    "best_order_compat": (_of_scores(lambda o, x: ranking.best_so_far(x)), f"{_scores_sql(TRIANGLE)} SELECT k, order_id, score FROM scores ORDER BY score, k, order_id LIMIT 1"),
+    "score_pivot": (
+        _of_scores(lambda o, x: ranking.pivot(x, list(range(5)))),
+        f"{_scores_sql(TRIANGLE)} SELECT k, " + ", ".join(f"max(score) FILTER (order_id = {i}) AS order_{i}" for i in range(5)) + " FROM scores GROUP BY k",
+    ),
+    "progress_pct": (_of_scores(lambda o, x: ranking.progress_percent(x, _N, 6)), f"{_scores_sql(TRIANGLE)} SELECT k, round(least(100.0::DOUBLE, 100.0::DOUBLE * sum(count(*)) OVER (ORDER BY k) / {_N * 6}), 6) AS percent FROM scores GROUP BY k"),
+    "session_events": (_session, f"{_session_sql()} SELECT row_number() OVER (ORDER BY stage, level, o, part) - 1 AS seq, event, order_id, k, value FROM every"),
+    "session_fold": (
+        lambda s, d: events.folded(_session(s, d)),
+        f"{_session_sql()} SELECT 'session_completed' AS last_event, count(*) FILTER (event = 'order_generated') AS total_orders, count(*) FILTER (event = 'prefix_progress') AS points, max(value) FILTER (event = 'session_completed') AS best_score FROM every",
+    ),
+    "event_batches": (_batches, _BATCH_SQL),
+    "event_tumbling": (_tumbling, "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, event_type AS event, count(*) AS n FROM events GROUP BY 1, 2"),
+    "qerror_summary": (
+        _qerrors,
+        f"{SHIP}, q AS (SELECT greatest(avg(count(*)) OVER (), 1) / greatest(count(*), 1) AS q FROM v GROUP BY label) SELECT round(sum(q), 6) AS total, round(avg(q), 6) AS average, round(stddev_pop(q), 6) AS std, round(sum(log10(q)), 6) AS log_total FROM q",
+    ),
+}
+
+
+def _color_check(spark: SparkSession, sf: str) -> DataFrame:
+    g = baskets(spark, sf).stored("colors")
+    colors = graph.colored(g)
+    ends = g.edges.where("src < dst").select("src", "dst").join(colors.select(F.col("vid").alias("src"), F.col("color").alias("a")), "src").join(colors.select(F.col("vid").alias("dst"), F.col("color").alias("b")), "dst")
+    return colors.agg(F.count("color").alias("colored")).crossJoin(ends.agg(F.coalesce(F.sum((F.col("a") == F.col("b")).cast("bigint")), F.lit(0).cast("bigint")).alias("conflicts")))  # a row each
+
+
+def queries() -> dict[str, Query]:
+    return {name: query for name, (query, _) in ENTRIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in ENTRIES.items() if sql}
