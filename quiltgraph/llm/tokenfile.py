@@ -13,11 +13,14 @@ that vector as u32, from which :meth:`EliasFano.select` counts on. No 64-bit off
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -126,27 +129,88 @@ class Encoder:
     """Ids of whole texts as bytes, word by word from a memo.
 
     A tokenizer that drops white space and never joins words across it gives a text the ids of its
-    words in turn. ``whole_text`` turns that off for other tokenizers; texts with one of U+001C-001F,
-    which Python splits at and the tokenizer does not, are always encoded whole.
+    words in turn; one that lower-cases and cuts letters from ASCII punctuation gives a word of both the
+    ids of its lower-case letters and of its punctuation. ``whole_text`` turns that off for other
+    tokenizers; texts with one of U+001C-001F, which Python splits at and the tokenizer does not, are
+    always encoded whole. Words not seen before are encoded together.
     """
 
+    #: Letters that have one lower-case letter each, then punctuation.
+    SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%&*#$]*)")
+    #: Longer words are not worth a place in the memo.
+    LONG = 100
+
     def __init__(self, path: str, whole_text: bool = False):
         self.tokenizer, self.whole_text = Tokenizer.from_file(path), whole_text
         self.id_bytes = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.memo = common.Memo(self.text)
-
-    def text(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, f"<u{self.id_bytes}").tobytes()
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if self.whole_text or any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return self.text(text)
-        words = text.split()
-        if max(map(len, words), default=0) > 100:  # not worth a place in the memo
-            return b"".join(self.memo[w] if len(w) <= 100 else self.text(w) for w in words)
-        return b"".join(map(self.memo.__getitem__, words))
+        self.words: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        vocab = self.tokenizer.get_vocab()
+        #: Ids that end a word, if the tokenizer marks them.
+        self.ends = np.zeros(max(vocab.values()) + 1, bool) if suffix else None
+        if suffix:
+            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        kind = f"<u{self.id_bytes}"
+        return [np.array(e.ids, kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def simple(self, cores: list[str]) -> list[bytes]:
+        """Ids of words that the tokenizer does not cut, encoded as one text and told apart by their last ids."""
+        if self.ends is None or not cores:
+            return self.texts(cores)
+        ids = np.array(self.tokenizer.encode(" ".join(cores), add_special_tokens=False).ids, np.int64)
+        cut = (np.flatnonzero(self.ends[ids]) + 1) * self.id_bytes
+        if len(cut) != len(cores):
+            return self.texts(cores)
+        data, cut = ids.astype(f"<u{self.id_bytes}").tobytes(), cut.tolist()
+        return [data[a:b] for a, b in zip([0, *cut], cut)]
+
+    def learn(self, unseen: set[str]) -> None:
+        if len(self.words) + len(unseen) > common.MEMO_ENTRIES:
+            self.words.clear()
+        if len(self.cores) + len(unseen) > 3 * common.MEMO_ENTRIES // 2:
+            self.cores.clear()
+        known, heads, tails, odd, match = [], [], [], [], self.SIMPLE.fullmatch
+        for w in unseen:
+            m = match(w)
+            if m is None:
+                odd.append(w)
+            else:
+                head, tail = m.groups()
+                known.append(w)
+                heads.append(head.lower())
+                tails.append(tail)
+        self.words.update(zip(odd, self.texts(odd)))
+        cores = self.cores
+        cores.setdefault("", b"")
+        new = list(set(heads).union(tails) - cores.keys())
+        for at in range(0, len(new), 20_000):
+            cores.update(zip(new[at : at + 20_000], self.simple(new[at : at + 20_000])))
+        of = cores.__getitem__
+        self.words.update(zip(known, map(add, map(of, heads), map(of, tails))))
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text; none for a null or empty one."""
+        made: list[bytes | None] = [None] * len(texts)
+        split: list[list[str]] = []
+        for i, text in enumerate(texts):
+            whole = text and (self.whole_text or any(c in text for c in "\x1c\x1d\x1e\x1f"))
+            if whole:
+                made[i] = self.texts([text])[0]
+            split.append([] if whole or not text else text.split())
+        seen = set().union(*split)
+        rare = {w for w in seen if len(w) > self.LONG}
+        unseen = seen - self.words.keys() - rare
+        if len(self.words) + len(unseen) > common.MEMO_ENTRIES:
+            unseen = seen - rare  # learn() starts anew
+        self.learn(unseen)
+        of = self.words.__getitem__
+        if rare:
+            long = dict(zip(rare, self.texts(list(rare))))
+            of = lambda w: long[w] if w in long else self.words[w]
+        return [b"".join(map(of, words)) if done is None else done for done, words in zip(made, split)]
 
 
 @lru_cache(2)
@@ -183,8 +247,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = 2,
 
         for batch in batches:
             for piece in common.slices(batch, 500):
-                for name, t in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
-                    ids = e.encode(t) + end
+                for name, ids in zip(piece.column(0).to_pylist(), e.encode(piece.column(1).to_pylist())):
+                    ids += end
                     names.append(name)
                     lengths.append(len(ids) // e.id_bytes)
                     parts.append(ids)
