@@ -186,7 +186,7 @@ ITEM = "Tom has 5 apples and gives 3 apples to Anna . How many apples does Tom h
     [
         ("x y z " + ITEM + " bla bla", True),
         ("so Jim has 7 apples and gives 4 apples to Mary. How many apples does Jim have after 9 days ?", True),
-        ("so Jim has 7 apples and gives 4 apples to Mary. How very many apples does Jim have after 9 days ?", True),
+        ("so Jim has 7 apples and gives 4 apples to Mary. How many apples does Jim have after 9 full days ?", True),
         ("Tom has 5 apples and gives 3 apples to Anna. nothing else of it is here at all", False),
         ("Jim has 7 apples and gives 7 apples to Jim. How many apples does Bob have after 7 days ?", False),
         ("", False),
