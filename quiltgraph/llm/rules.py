@@ -117,3 +117,21 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
     counted = counts(docs.drop(*(c for c in docs.columns if c in names and c != text)), text)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > int(100 * MOST_REPEATED) * F.col("n_words"))
     return counted.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & compiled(rules))
+
+
+def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
+    """The same verdicts over ``documents`` in DuckDB, windows compared as text."""
+    stop = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
+    tests = " AND ".join(f"coalesce({rule.ratio.split(' / ')[0]}::DOUBLE / nullif({rule.ratio.split(' / ')[1]}, 0) {op} {bound}, true)" for rule in rules for op, bound in ((">=", rule.least), ("<=", rule.most)) if bound is not None)
+    return rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+win AS (SELECT rid, i, concat_ws(' ', words[i], words[i + 1], words[i + 2]) AS g FROM (SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+rep AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
+cov AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY rid),
+c AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+  (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, length(t) - length(regexp_replace(t, '[!?]', '', 'g')) AS n_exclamations,
+  len(list_filter(words, lambda x: lower(x) IN ({stop}))) AS n_stop_words, len(lines) AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+  len(list_filter(lines, lambda x: suffix(rtrim(x), '...') OR suffix(rtrim(x), '…'))) AS n_ellipsis_lines, len(list_filter(lines, lambda x: substring(ltrim(x), 1, 1) IN ('-', '*', '•', '·'))) AS n_bullet_lines,
+  coalesce(n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN cov USING (rid)),
+f AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {int(100 * MOST_REPEATED)} * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {tests} AS kept FROM f"""

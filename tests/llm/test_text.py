@@ -280,3 +280,13 @@ def test_subwords_do_not_depend_on_company():
 def test_memo_is_bounded():
     memo = common.Memo(len, limit=10)
     assert [memo["x" * i] for i in range(100)] == list(range(100)) and len(memo) <= 10
+
+
+def test_rules_sql(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    found = con.sql(queries.oracle_sql()["op6_quality_rules"])
+    got = queries.op6_quality_rules(spark, sf).select(*found.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(found.fetchall())
