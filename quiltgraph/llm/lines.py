@@ -2,10 +2,11 @@
 
 Lines are compared in lower case with white space collapsed. A line's signature is a one-permutation
 MinHash of its eight-byte shingles: one hash a shingle, the least value in each of ``BANDS * ROWS`` bins,
-empty bins filled from the next full one. Lines that share a band meet in its bucket; a bucket links its
-lines to its first one, pairs are verified by the exact Jaccard similarity of the shingle sets, and
-components are found. Lines of one bucket that are then still apart are compared among themselves, so
-that no verified link between bucket mates is lost. The first line of each component stays.
+empty bins filled from the next full one. Lines that share a band meet in its bucket, where each joins a
+leader whose signature is not far from its own; the components of these loose links are clusters, which
+any two similar bucket mates share. Within a cluster every line is compared by the exact Jaccard
+similarity of the shingle sets, large clusters as pairs of blocks, and the components of verified links
+are found. The first line of each component stays.
 """
 
 from __future__ import annotations
@@ -24,6 +25,11 @@ SIMILARITY = 0.8
 #: At similarity 0.8 a pair shares a band with probability 1 - (1 - 0.8^4)^9 = 0.991, at 0.9 with 0.9998.
 BANDS, ROWS = 9, 4
 SHINGLE = 8  # bytes
+#: Bins of the sketch that goes with a line into its buckets, four bits each, and how many equal ones
+#: bring a line to a leader: lines that share little have 3 or 4, lines at 0.35 about 12.
+SKETCH, LOOSE = 32, 12
+#: Lines, or bytes of lines, of a cluster compared in one task; larger ones are dealt out as pairs of blocks.
+BLOCK_LINES, BLOCK_BYTES = 1024, 4_000_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -76,6 +82,20 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def sketches(values: np.ndarray) -> np.ndarray:
+    """``(lines, 2)`` bigint: four mixed bits of each of the first ``SKETCH`` values."""
+    bits = ((values[:, :SKETCH] * _MIX[0]) >> np.uint64(60)).reshape(len(values), 2, 16)
+    return (bits << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64).view(np.int64)
+
+
+def unlike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many of the ``SKETCH`` places the sketches ``a`` and ``b`` (uint64 pairs) differ."""
+    x = a ^ b
+    x |= x >> np.uint64(1)
+    x |= x >> np.uint64(2)
+    return np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(-1)
+
+
 def jaccard(a: bytes, b: bytes) -> float:
     x, y = (np.unique(shingles([s])[0]) for s in (a, b))
     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -93,7 +113,10 @@ def numbers(lines: list[bytes]) -> np.ndarray:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """``(key, doc_id, line, number, bands)`` of every line with a word; ``bands`` once a task for each number."""
+    """``(key, doc_id, line, number, bands)`` of every line with a word; ``bands`` once a task for each number.
+
+    ``bands`` has the keys of the bands and then the two parts of the sketch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -111,9 +134,13 @@ def line_table(docs: DataFrame) -> DataFrame:
                     continue
                 number = numbers(lines)
                 new = [i for i, x in enumerate(number.tolist()) if not (x in seen or seen.add(x))]
-                bands = np.concatenate([band_keys(signatures([lines[i] for i in new[at : at + 1000]])) for at in range(0, len(new), 1000)]) if new else np.empty((0, BANDS), np.int64)
+                made = [np.empty((0, BANDS + 2), np.int64)]
+                for at in range(0, len(new), 1000):
+                    values = signatures([lines[i] for i in new[at : at + 1000]])
+                    made.append(np.concatenate([band_keys(values), sketches(values)], 1))
+                bands = np.concatenate(made)
                 ends = np.zeros(len(lines) + 1, np.int32)
-                ends[np.array(new, np.int64) + 1] = BANDS
+                ends[np.array(new, np.int64) + 1] = BANDS + 2
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(number), pa.ListArray.from_arrays(pa.array(np.cumsum(ends), pa.int32()), pa.array(bands.ravel()))],
                     names=["key", "doc_id", "line", "number", "bands"],
@@ -122,32 +149,60 @@ def line_table(docs: DataFrame) -> DataFrame:
     return docs.select("__key", F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "key bigint, doc_id bigint, line int, number bigint, bands array<bigint>")
 
 
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """The columns of each run of rows equal in the first ``keys`` columns, for numeric columns in sorted batches."""
+    rest = None
+    for batch in batches:
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+        if rest is not None:
+            columns = [np.concatenate(x) for x in zip(rest, columns)]
+        new = np.zeros(len(columns[0]), bool)
+        for x in columns[:keys]:
+            new[1:] |= x[1:] != x[:-1]
+        starts = np.concatenate([[0], np.flatnonzero(new)])
+        many = np.flatnonzero(np.diff(starts) > 1)
+        for i in many:
+            yield [x[starts[i] : starts[i + 1]] for x in columns]
+        rest = [x[starts[-1] :] for x in columns]
+    if rest is not None and len(rest[0]) > 1:
+        yield rest
+
+
+def leaders(numbers: np.ndarray, sketch: np.ndarray, chunk: int = 4096) -> list[tuple[int, int]]:
+    """(line, leader) for every line near an earlier leader of the bucket; the others become leaders."""
+    found: list[tuple[int, int]] = []
+    names, heads = np.empty(0, numbers.dtype), np.empty((0, 2), np.uint64)
+    for at in range(0, len(numbers), chunk):
+        n, s = numbers[at : at + chunk], sketch[at : at + chunk]
+        for name, head in zip(names, heads):
+            if not len(n):
+                break
+            near = unlike(s, head) <= SKETCH - LOOSE
+            found += [(int(x), int(name)) for x in n[near]]
+            n, s = n[~near], s[~near]
+        while len(n):
+            name, head = n[0], s[0]
+            names, heads = np.append(names, name), np.concatenate([heads, s[:1]])
+            n, s = n[1:], s[1:]
+            near = unlike(s, head) <= SKETCH - LOOSE
+            found += [(int(x), int(name)) for x in n[near]]
+            n, s = n[~near], s[~near]
+    return found
+
+
 def mates(lines: DataFrame) -> DataFrame:
-    """``(band, number, first)`` of every bucket of two lines or more: its distinct lines and the least of them."""
+    """``(a, b)``: loose links that join all similar lines of each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            band, number = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-            if rest is not None:
-                band, number = np.concatenate([rest[0], band]), np.concatenate([rest[1], number])
-            starts = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
-            cut = starts[-1]
-            rest = band[cut:], number[cut:]
-            yield from out(band[:cut], number[:cut], starts[:-1])
-        if rest is not None:
-            yield from out(*rest, np.array([0]))
-
-    def out(band: np.ndarray, number: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(band):
-            first = np.repeat(number[starts], np.diff(np.append(starts, len(band))))
-            last = np.repeat(number[np.append(starts[1:], len(band)) - 1], np.diff(np.append(starts, len(band))))
-            fresh = np.concatenate([[True], (band[1:] != band[:-1]) | (number[1:] != number[:-1])])
-            many = (first != last) & fresh  # sorted: equal ends are a bucket of one line
-            yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (band, number, first)], names=["band", "number", "first"])
+        for _, number, low, high in sorted_groups(batches, 1):
+            fresh = np.concatenate([[True], number[1:] != number[:-1]])
+            if fresh.sum() > 1:
+                pairs = leaders(number[fresh], np.stack([low[fresh], high[fresh]], 1).view(np.uint64))
+                if pairs:
+                    yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    rows = lines.where(F.size("bands") > 0).select(F.explode("bands").alias("band"), "number")
-    return rows.repartition("band").sortWithinPartitions("band", "number").mapInArrow(run, "band bigint, number bigint, first bigint")
+    rows = lines.where(F.size("bands") > 0).select(F.explode(F.slice("bands", 1, BANDS)).alias("band"), "number", F.col("bands")[BANDS].alias("low"), F.col("bands")[BANDS + 1].alias("high"))
+    return rows.repartition("band").sortWithinPartitions("band", "number").mapInArrow(run, "a bigint, b bigint")
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -167,35 +222,75 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return every.join(wanted, "number", "left_semi").groupBy("number").agg(F.min("line").alias("line"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The ``pairs(a, b)`` whose lines reach ``similarity``."""
+def forest(lines: list[bytes], similarity: float) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the lines linked at ``similarity`` or more, each compared with all not yet reached.
+
+    The shingles a line shares with every other one are counted from postings.
+    """
+    found, counts = shingles(lines)
+    owner = np.repeat(np.arange(len(lines)), counts)
+    order = np.lexsort((owner, found))
+    found, owner = found[order], owner[order]
+    fresh = np.concatenate([[True], (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])])  # sets
+    found, owner = found[fresh], owner[fresh]
+    sizes = np.bincount(owner, minlength=len(lines))
+    starts = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+    ends = np.append(starts[1:], len(found))
+    posting = np.repeat(np.arange(len(starts)), ends - starts)
+    by_line = np.argsort(owner, kind="stable")
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    left, edges = np.ones(len(lines), bool), []
+    for first in range(len(lines)):
+        if not left[first]:
+            continue
+        left[first] = False
+        front = [first]
+        while front and left.any():
+            x = front.pop()
+            p = posting[by_line[bounds[x] : bounds[x + 1]]]
+            many = ends[p] - starts[p]
+            rows = np.repeat(starts[p] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+            both = np.bincount(owner[rows], minlength=len(lines))
+            near = np.flatnonzero(left & (both >= similarity * (sizes + sizes[x] - both) - 1e-9))
+            edges += [(x, int(y)) for y in near]
+            left[near] = False
+            front += near.tolist()
+    return edges
+
+
+def verified(clusters: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``(a, b)``: edges that connect exactly the lines that pairs at ``similarity`` connect within ``clusters(node, root)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            good = [i for i, (x, y) in enumerate(zip(left, right)) if jaccard(x, y) >= similarity]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good, pa.int64())), batch.column(1).take(pa.array(good, pa.int64()))], names=["a", "b"])
+        key, numbers, lines = None, [], []
 
-    both = pairs.join(texts.select(F.col("number").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("number").alias("b"), F.col("line").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+        def out() -> Iterator[pa.RecordBatch]:
+            if len(lines) > 1 and (edges := forest(lines, similarity)):
+                yield pa.RecordBatch.from_arrays([pa.array([numbers[e[i]] for e in edges], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for *here, number, line in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if here != key:
+                    yield from out()
+                    key, numbers, lines = here, [], []
+                numbers.append(number)
+                lines.append(line)
+        yield from out()
+
+    rows = texts.join(clusters.withColumnRenamed("node", "number"), "number")
+    sizes = common.written(rows.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("bytes")), "line-clusters")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_LINES), F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1)).cast("int")
+    dealt = rows.join(sizes, "root").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("number"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("root", "number", "line", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "number", "line")
+    return dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, "a bigint, b bigint")
 
 
 def classes(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``(node, root)``: the components of fuzzily equal lines, those of two lines or more."""
-    buckets = common.written(mates(lines), "line-buckets")
-    stars = common.written(buckets.where("number <> first").select(F.col("number").alias("a"), F.col("first").alias("b")).distinct(), "line-stars")
-    texts = common.written(texts_of(docs, buckets.select("number").distinct()), "line-texts")
-    edges = common.written(verified(stars, texts, similarity), "line-edges")
-    roots = common.components(edges, "line-components")
-    # bucket mates that are still apart, but for the pairs already compared
-    apart = buckets.join(roots.withColumnRenamed("node", "number"), "number", "left").withColumn("root", F.coalesce("root", "number"))
-    split = apart.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high and n > 2").select("band")
-    apart = common.written(apart.join(split, "band").select("band", "number", "root", "first"), "line-apart")
-    left, right = (apart.select("band", F.col("number").alias(n), F.col("root").alias(f"root_{n}"), "first") for n in "ab")
-    crossing = left.join(right.drop("first"), "band").where("root_a < root_b and a <> first and b <> first")
-    more = crossing.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    added = common.written(verified(common.written(more, "line-pairs"), texts, similarity), "line-edges")
-    return roots if added.isEmpty() else common.components(edges.unionAll(added), "line-components")
+    clusters = common.written(common.components(mates(lines), "line-mates"), "line-mates")
+    texts = common.written(texts_of(docs, clusters.select(F.col("node").alias("number"))), "line-texts")
+    return common.components(verified(clusters, texts, similarity), "line-components")
 
 
 def removals(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
