@@ -1,16 +1,16 @@
 """Language identification: averaged hashed subword embeddings with a linear softmax.
 
-A text's vector is the mean of the embeddings of its subwords: the words and their character n-grams of
-length 2 to 5, in lower case with word ends marked, hashed into a table. Embeddings and softmax weights
+A text's vector is the mean of the embeddings of its subwords: the words (runs of letters in lower case)
+and their character n-grams of length 2 to 5, with word ends marked, hashed into a table. Embeddings and softmax weights
 are trained together by stochastic gradient descent on runs of words. Scores are calibrated by a
 temperature; below a threshold that keeps nearly all right predictions a prediction counts as rejected.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -26,17 +26,40 @@ PER_LANGUAGE = 300
 UNKNOWN = "und"
 
 
-def subwords(word: str, bits: int = BITS) -> np.ndarray:
-    """Rows of the word and its n-grams in the table."""
-    marked = f"<{word.lower()}>"
-    found = {marked, *(marked[i : i + n] for n in range(2, 6) for i in range(len(marked) - n + 1))}
-    return np.array([crc32(x.encode("utf-8", "surrogatepass")) & (1 << bits) - 1 for x in sorted(found)], np.int32)
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters in lower case."""
+    return RUNS.findall(text.lower()) if text else []
+
+
+RUNS = re.compile(r"[^\W\d_]+")
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def subwords(words: list[str], bits: int = BITS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For the words themselves and each n-gram length: rows of the table, and the number of the word each belongs to."""
+    sizes = np.array([len(w) + 2 for w in words], np.int64)
+    codes = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    word, starts = np.repeat(np.arange(len(words)), sizes), np.cumsum(sizes) - sizes
+    place = np.arange(len(codes)) - starts[word]
+    shift = np.uint64(64 - bits)
+    # a word's hash: its characters, each mixed with its place, summed
+    mixed = (codes + place.astype(np.uint64) * np.uint64(0x10FFFF)) * _MIX
+    mixed ^= mixed >> np.uint64(29)
+    found = [(((np.add.reduceat(mixed * _MIX, starts) * _MIX) >> shift).astype(np.int64), np.arange(len(words)))]
+    h = codes * _MIX
+    for n in range(2, 6):
+        if len(codes) < n:
+            break
+        h = (h[:-1] ^ (h[:-1] >> np.uint64(31)) ^ codes[n - 1 :]) * _MIX
+        inside = place[: len(h)] + n <= sizes[word[: len(h)]]
+        found.append(((h[inside] >> shift).astype(np.int64), word[: len(h)][inside]))
+    return found
 
 
 @dataclass
 class Model:
     names: list[str]
-    logits: np.ndarray  # float32: what a row of the table adds to each language's logit
+    logits: np.ndarray  # what a row of the table adds to each language's logit
     bias: np.ndarray
     temperature: float
     reject_below: float
@@ -49,60 +72,70 @@ class Model:
 
 
 class Reader:
-    """Mean logits of whole texts, each word's sum from a memo of bounded size."""
+    """Mean logits of whole texts, each word's sum from a memo of bounded size; words not seen before are read together."""
 
     def __init__(self, model: Model):
         self.model, width = model, len(model.names) + 1
         self.limit = min(common.MEMO_ENTRIES, 20_000_000 // width)
-        self.rows, self.memo = np.empty((1024, width), np.float32), {}
-
-    def place(self, word: str) -> int:
-        at = self.memo.get(word)
-        if at is None:
-            at = len(self.memo)
-            if at == len(self.rows):
-                self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
-            found = subwords(word, self.model.bits)
-            self.rows[at, :-1], self.rows[at, -1] = self.model.logits[found].sum(0, dtype=np.float64), len(found)
-            self.memo[word] = at
-        return at
-
-    def mean(self, text: str) -> np.ndarray:
-        words, total = text.split(), np.zeros(self.rows.shape[1])
-        for at in range(0, len(words), 10_000):
-            if len(self.memo) > self.limit:
-                self.memo.clear()
-            places = [self.place(w) for w in words[at : at + 10_000]]  # before self.rows is read, which grows
-            total += self.rows[places].sum(0, dtype=np.float64)
-        return total[:-1] / max(total[-1], 1)
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """Language and score; :data:`UNKNOWN` and 0 for a null text or one without a letter."""
-        if not text or not any(map(str.isalpha, text)):
-            return UNKNOWN, 0.0
-        p = self.model.probabilities(self.mean(text))
-        best = int(p.argmax())  # ties: the first name
-        return self.model.names[best], float(p[best])
+        self.rows, self.memo = np.zeros((1024, width)), {}
+
+    def learn(self, unseen: list[str]) -> None:
+        first = len(self.memo)
+        self.memo.update(zip(unseen, range(first, first + len(unseen))))
+        while len(self.rows) < len(self.memo):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        sums = np.zeros((len(unseen), self.rows.shape[1]))
+        for rows, word in subwords(unseen, self.model.bits):
+            sums[:, -1] += np.bincount(word, minlength=len(unseen))
+            for k in range(len(self.model.names)):
+                sums[:, k] += np.bincount(word, self.model.logits[rows, k], minlength=len(unseen))
+        self.rows[first : first + len(unseen)] = sums
+
+    def means(self, texts: list[str | None]) -> list[np.ndarray]:
+        split = [words_of(t) for t in texts]
+        unseen = list(set().union(*split) - self.memo.keys())
+        if len(self.memo) + len(unseen) > self.limit:
+            self.memo.clear()
+            unseen = list(set().union(*split))
+        for at in range(0, len(unseen), 50_000):
+            self.learn(sorted(unseen[at : at + 50_000]))
+        found = []
+        for words in split:
+            total = self.rows[np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))].sum(0)
+            found.append(total[:-1] / max(total[-1], 1))
+        return found
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and score of each; :data:`UNKNOWN` and 0 for a null text or one without a letter."""
+        found = []
+        for text, mean in zip(texts, self.means(texts)):
+            if not text or not any(map(str.isalpha, text)):
+                found.append((UNKNOWN, 0.0))
+                continue
+            p = self.model.probabilities(mean)
+            best = int(p.argmax())  # ties: the first name
+            found.append((self.model.names[best], float(p[best])))
+        return found
 
 
 def train(texts: list[str], languages: list[str], bits: int = BITS, width: int = WIDTH, epochs: int = 3, run: int = 40, rate: float = 0.5, seed: int = 1) -> Model:
-    """Model of ``languages``. A fifth of the texts, every fifth one, is kept for calibration.
+    """Model of ``languages``. A fifth of the texts, every fifth one, is kept for calibration, as short runs of words.
 
     Texts are learned from whole, in runs of ``run`` words. With a single language every text is that
     one; without rows there is nothing to predict but :data:`UNKNOWN`.
     """
     names = sorted(set(languages)) or [UNKNOWN]
-    rng, memo = np.random.default_rng(seed), {}
+    rng = np.random.default_rng(seed)
     known = {n: i for i, n in enumerate(names)}
     learned, kept = [], []
     for i, (text, name) in enumerate(zip(texts, languages)):
-        words = (text or "").split()
         if i % 5 == 4:
-            kept.append((text, known[name]))
+            words = words_of(text)
+            kept += [(" ".join(words[at : at + 5]), known[name]) for at in range(0, len(words), 50)]
             continue
+        words = words_of(text)
         for at in range(0, len(words), run):
-            rows = [memo[w] if w in memo else memo.setdefault(w, subwords(w, bits)) for w in words[at : at + run]]
-            learned.append((rows, known[name]))
+            learned.append((words[at : at + run], known[name]))
     table, weights, bias = rng.normal(0, 0.1, (1 << bits, width)), np.zeros((width, len(names))), np.zeros(len(names))
     weights += rng.normal(0, 0.1, weights.shape)
     # each language counts alike, however many runs it has
@@ -111,7 +144,8 @@ def train(texts: list[str], languages: list[str], bits: int = BITS, width: int =
     steps, done = epochs * len(learned), 0
     for _ in range(epochs):
         for i in rng.permutation(len(learned)):
-            rows, k = np.concatenate(learned[i][0]), learned[i][1]
+            words, k = learned[i]
+            rows = np.concatenate([r for r, _ in subwords(words, bits)])
             step = rate * (1 - done / steps)
             done += 1
             mean = table[rows].mean(0)
@@ -125,7 +159,7 @@ def train(texts: list[str], languages: list[str], bits: int = BITS, width: int =
             bias -= 0.1 * error
             # every subword of the mean moves by its share; times the mean's size, else long texts hardly move
             np.subtract.at(table, rows, back / np.sqrt(len(rows)))
-    model = Model(names, (table @ weights).astype(np.float32), bias, 1.0, 0.0, bits)
+    model = Model(names, table @ weights, bias, 1.0, 0.0, bits)
     if kept:
         calibrate(model, kept)
     return model
@@ -134,14 +168,14 @@ def train(texts: list[str], languages: list[str], bits: int = BITS, width: int =
 def calibrate(model: Model, kept: list[tuple[str, int]], keep_right: float = 0.999) -> None:
     """Sets the temperature by likelihood on ``kept``, and the threshold that keeps ``keep_right`` of the right predictions."""
     reader = Reader(model)
-    z, y = np.array([reader.mean(t or "") for t, _ in kept]) + model.bias, np.array([k for _, k in kept])
+    z, y = np.array(reader.means([t for t, _ in kept])) + model.bias, np.array([k for _, k in kept])
 
     def loss(temperature: float) -> float:
         q = z / temperature
         q = q - q.max(1, keepdims=True)
         return float((np.log(np.exp(q).sum(1)) - q[np.arange(len(y)), y]).mean())
 
-    model.temperature = min(np.geomspace(0.05, 20, 61), key=loss)
+    model.temperature = min(np.geomspace(0.25, 20, 61), key=loss)
     p = np.array([model.probabilities(x - model.bias) for x in z])
     right = p.max(1)[p.argmax(1) == y]
     model.reject_below = float(np.quantile(right, 1 - keep_right)) if len(right) else 0.0
@@ -169,7 +203,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
         reader = Reader(m)
 
         def rows(texts: list) -> dict[str, pa.Array]:
-            got = [reader.predict(t) for t in texts]
+            got = reader.predict(texts)
             return {"lang_pred": pa.array([g[0] for g in got], pa.string()), "score": pa.array([g[1] for g in got], pa.float64()), "rejected": pa.array([g[0] == UNKNOWN or g[1] < m.reject_below for g in got], pa.bool_())}
 
         return common.per_document(batches, text, rows, keep)
