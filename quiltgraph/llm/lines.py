@@ -149,22 +149,19 @@ def line_table(docs: DataFrame) -> DataFrame:
     return docs.select("__key", F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "key bigint, doc_id bigint, line int, number bigint, bands array<bigint>")
 
 
-def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
-    """The columns of each run of rows equal in the first ``keys`` columns, for numeric columns in sorted batches."""
+def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of each run of rows equal in the first column that differ in the second, for numeric columns in sorted batches."""
     rest = None
     for batch in batches:
         columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
         if rest is not None:
             columns = [np.concatenate(x) for x in zip(rest, columns)]
-        new = np.zeros(len(columns[0]), bool)
-        for x in columns[:keys]:
-            new[1:] |= x[1:] != x[:-1]
-        starts = np.concatenate([[0], np.flatnonzero(new)])
-        many = np.flatnonzero(np.diff(starts) > 1)
-        for i in many:
+        starts = np.concatenate([[0], np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1])
+        # most runs are one line, or one line that several tasks have sent
+        for i in np.flatnonzero(columns[1][starts[:-1]] != columns[1][starts[1:] - 1]):
             yield [x[starts[i] : starts[i + 1]] for x in columns]
         rest = [x[starts[-1] :] for x in columns]
-    if rest is not None and len(rest[0]) > 1:
+    if rest is not None and rest[1][0] != rest[1][-1]:
         yield rest
 
 
@@ -194,12 +191,14 @@ def mates(lines: DataFrame) -> DataFrame:
     """``(a, b)``: loose links that join all similar lines of each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, number, low, high in sorted_groups(batches, 1):
+        found: list[tuple[int, int]] = []
+        for _, number, low, high in sorted_groups(batches):
             fresh = np.concatenate([[True], number[1:] != number[:-1]])
-            if fresh.sum() > 1:
-                pairs = leaders(number[fresh], np.stack([low[fresh], high[fresh]], 1).view(np.uint64))
-                if pairs:
-                    yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            found += leaders(number[fresh], np.stack([low[fresh], high[fresh]], 1).view(np.uint64))
+            if len(found) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+                found = []
+        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     rows = lines.where(F.size("bands") > 0).select(F.explode(F.slice("bands", 1, BANDS)).alias("band"), "number", F.col("bands")[BANDS].alias("low"), F.col("bands")[BANDS + 1].alias("high"))
     return rows.repartition("band").sortWithinPartitions("band", "number").mapInArrow(run, "a bigint, b bigint")
