@@ -1,11 +1,14 @@
 """Benchmark decontamination by templates.
 
 Words become a template: numbers, units and names (capitalised words) turn into typed placeholders, so a
-question with other numbers or names keeps its template. Windows of five template words of the benchmark
-are hash-joined with those of the documents. Where enough windows of an item lie close together in a
-document, the slots are checked: each value of the item must stand for one value of the document
-throughout, and no two values of one type for the same; windows that break this do not count. An item
-whose counted windows are at least 0.8 of its own is contained in the document.
+question with other numbers or names keeps its template. Only names depend on case; a second template
+takes them as words, so a text in other case keeps that one (a window whose case and name both differ is
+not found: in other case a new name looks like a word). Windows of five template words of the benchmark,
+of both templates, are hash-joined with those of the documents. Where enough windows of an item lie close
+together in a document, the slots are checked: each value of the item must stand for one value of the document
+throughout, and no two values of one type for the same; windows that break this do not count, unless they
+have the item's own words. An item whose counted windows are at least 0.8 of its own is contained in the
+document.
 
 The benchmark's windows are sent to the executors in blocks of bounded size; each block is one pass over
 the documents, which are never shuffled.
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW, SIMILARITY = 5, 0.8
-#: Windows of the benchmark sent to the executors at a time (about 50 bytes each).
+#: Windows of the benchmark sent to the executors at a time (about 100 bytes each, in two templates).
 BLOCK_WINDOWS = 500_000
 UNITS = frozenset(
     "mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg t lb lbs oz pound pounds ounce ounces ton tons"
@@ -42,15 +45,17 @@ EDGES = re.compile(r"^\W+|\W+$")
 
 def template(word: str) -> tuple[tuple[str, str], ...]:
     """Template words of a word, each with its slot value ("" outside slots); none for mere punctuation."""
-    lead = "$" if word[:1] in "$€£" else ""
-    core = EDGES.sub("", word)
-    if not core:
-        return ()
-    low = core.lower()
-    if NUMBER.match(core):
-        return (("<num>", low), ("<unit>", lead)) if lead else (("<num>", low),)
-    if (m := NUMBER_UNIT.match(low)) and m[2] in UNITS:
-        return ("<num>", m[1]), ("<unit>", m[2])
+    core, low = word, word.casefold()
+    if not word.isalpha():  # letters alone have no edges and are no number
+        lead = "$" if word[:1] in "$€£" else ""
+        core = EDGES.sub("", word)
+        if not core:
+            return ()
+        low = core.casefold()
+        if NUMBER.match(low):
+            return (("<num>", low), ("<unit>", lead)) if lead else (("<num>", low),)
+        if (m := NUMBER_UNIT.match(low)) and m[2] in UNITS:
+            return ("<num>", m[1]), ("<unit>", m[2])
     if low in UNITS:
         return (("<unit>", low),)
     if len(core) > 1 and core[0].isupper() and core[1:] == core[1:].lower():
@@ -58,18 +63,60 @@ def template(word: str) -> tuple[tuple[str, str], ...]:
     return ((low, ""),)
 
 
-def _hash(word: str) -> tuple[int, ...]:
-    return tuple(xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t, _ in template(word))
+def said(token: tuple[str, str]) -> str:
+    """The word of a template word, in lower case."""
+    return token[1] or token[0]
+
+
+def _digest(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
 class Words:
-    """Hashes of template words, and of windows over them."""
+    """Hashes of template words, and of windows over them.
+
+    Words are numbered as they come; beyond ``common.MEMO_ENTRIES`` the numbers start anew.
+    """
 
     def __init__(self) -> None:
-        self.memo = common.Memo(_hash)
+        self.memo = common.Memo(self._number)
+        # of each word: its first template word and how many it has; of each template word: both hashes
+        self.words, self.tokens = np.empty((0, 2), np.int64), np.empty((0, 2), np.uint64)
+        self.n_words = self.n_tokens = 0  # in use; those not yet in the arrays:
+        self.new_words: list[int] = []
+        self.new_tokens: list[int] = []
+
+    def _number(self, word: str) -> int:
+        made = template(word)
+        self.new_words += (self.n_tokens + len(self.new_tokens) // 2, len(made))
+        for kind, value in made:
+            digest = _digest(kind)
+            self.new_tokens += (digest, _digest(value) if kind == "<name>" else digest)
+        return len(self.memo)
+
+    @staticmethod
+    def _put(table: np.ndarray, n: int, new: list[int]) -> np.ndarray:
+        """``table`` with the rows of ``new`` from row ``n`` on, larger if it must be."""
+        if n + len(new) // 2 > len(table):
+            table = np.concatenate([table[:n], np.empty((n + len(new), 2), table.dtype)])
+        table[n : n + len(new) // 2] = np.array(new, table.dtype).reshape(-1, 2)
+        return table
 
     def hashes(self, text: str | None) -> np.ndarray:
-        return np.array([h for w in map(self.memo.__getitem__, (text or "").split()) for h in w], np.uint64)
+        """``(2, template words)``: hashes with names as placeholders, and with names as words."""
+        words = (text or "").split()
+        if len(self.memo) + len(words) > self.memo.limit:  # a text's numbers must not start anew within it
+            self.memo.clear()
+            self.memo.limit = max(self.memo.limit, len(words))
+            self.n_words = self.n_tokens = 0
+        numbers = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
+        if self.new_words:
+            self.words, self.tokens = self._put(self.words, self.n_words, self.new_words), self._put(self.tokens, self.n_tokens, self.new_tokens)
+            self.n_words, self.n_tokens = self.n_words + len(self.new_words) // 2, self.n_tokens + len(self.new_tokens) // 2
+            self.new_words, self.new_tokens = [], []
+        first, many = self.words[numbers].T
+        at = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        return np.ascontiguousarray(self.tokens[at].T)
 
     @staticmethod
     def windows(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -82,12 +129,39 @@ class Words:
         return total
 
 
+@dataclass
+class Known:
+    """Windows of one size and template: sorted hashes with the item and position of each, and a table of their high bits."""
+
+    hashes: np.ndarray
+    item: np.ndarray
+    at: np.ndarray
+    table: np.ndarray
+
+    @classmethod
+    def of(cls, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Known:
+        hashes, item, at = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(hashes, kind="stable")
+        bits = min(max(16, len(hashes).bit_length() + 4), 26)
+        table = np.zeros(1 << bits, bool)
+        table[hashes >> np.uint64(64 - bits)] = True
+        return cls(hashes[order], item[order], at[order], table)
+
+    def meet(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Item, position in it and position in ``windows`` of all equal pairs."""
+        may = np.flatnonzero(self.table[windows >> np.uint64(65 - len(self.table).bit_length())])
+        first, last = (np.searchsorted(self.hashes, windows[may], side) for side in ("left", "right"))
+        many = last - first
+        rows = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        return self.item[rows], self.at[rows], np.repeat(may, many)
+
+
 @dataclass
 class Index:
-    """Windows of a block of items: by size, sorted hashes with the item and position of each."""
+    """Windows of a block of items: by size, those of both templates."""
 
     items: list[tuple[int | None, str]]
-    sizes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    sizes: dict[int, tuple[Known, Known]]
     totals: np.ndarray  # windows of each item
 
     @classmethod
@@ -95,17 +169,12 @@ class Index:
         words, found, totals = Words(), {}, []
         for i, (_, text) in enumerate(items):
             hashes = words.hashes(text)
-            size = min(window, len(hashes))  # an item of fewer words is one window of all of them
-            got = Words.windows(hashes, size) if size else np.empty(0, np.uint64)
-            totals.append(len(got))
+            size = min(window, hashes.shape[1])  # an item of fewer words is one window of all of them
+            n = hashes.shape[1] - size + 1 if size else 0
+            totals.append(n)
             if size:
-                found.setdefault(size, []).append((got, np.full(len(got), i), np.arange(len(got))))
-        sizes = {}
-        for size, parts in found.items():
-            hashes, item, at = (np.concatenate(x) for x in zip(*parts))
-            order = np.argsort(hashes, kind="stable")
-            sizes[size] = hashes[order], item[order], at[order]
-        return cls(items, sizes, np.array(totals))
+                found.setdefault(size, []).append([(Words.windows(h, size), np.full(n, i), np.arange(n)) for h in hashes])
+        return cls(items, {size: tuple(Known.of(x) for x in zip(*parts)) for size, parts in found.items()}, np.array(totals))
 
 
 def slots(text: str) -> list[tuple[str, str]]:
@@ -113,11 +182,11 @@ def slots(text: str) -> list[tuple[str, str]]:
 
 
 def consistent(pairs: list[tuple[int, int]], item: list[tuple[str, str]], doc: list[tuple[str, str]], size: int) -> int:
-    """How many of the item's windows, given as (its position, the document's), keep every slot's commonest value."""
+    """How many of the item's windows, given as (its position, the document's), keep every slot's commonest value or all words."""
     votes: dict[tuple[str, str], Counter] = {}
     for a, b in dict.fromkeys((i + k, j + k) for i, j in pairs for k in range(size)):
         if item[a][1]:
-            votes.setdefault(item[a], Counter())[doc[b][1]] += 1
+            votes.setdefault(item[a], Counter())[said(doc[b])] += 1
     chosen = {slot: min(found.items(), key=lambda x: (-x[1], x[0] != slot[1], x[0]))[0] for slot, found in votes.items()}
     # two values of one type must not stand for the same: the one with more votes keeps it
     owner: dict[tuple[str, str], tuple[str, str]] = {}
@@ -125,7 +194,8 @@ def consistent(pairs: list[tuple[int, int]], item: list[tuple[str, str]], doc: l
         owner.setdefault((slot[0], chosen[slot]), slot)
     good = set()
     for i, j in pairs:
-        if all(not item[i + k][1] or chosen[item[i + k]] == doc[j + k][1] and owner[item[i + k][0], doc[j + k][1]] == item[i + k] for k in range(size)):
+        same = all(said(item[i + k]) == said(doc[j + k]) for k in range(size))
+        if same or all(not item[i + k][1] or chosen[item[i + k]] == said(doc[j + k]) and owner[item[i + k][0], said(doc[j + k])] == item[i + k] for k in range(size)):
             good.add(i)
     return len(good)
 
@@ -133,19 +203,17 @@ def consistent(pairs: list[tuple[int, int]], item: list[tuple[str, str]], doc: l
 def contained(text: str | None, words: Words, index: Index, similarity: float = SIMILARITY) -> list[tuple[int, float]]:
     """Numbers of the items in a text, with the share of their windows found."""
     hashes, found, doc = words.hashes(text), [], None
-    for size, (known, item_of, place) in index.sizes.items():
-        windows = Words.windows(hashes, size)
-        if not len(windows):
+    for size, both in index.sizes.items():
+        if hashes.shape[1] < size:
             continue
-        first, last = np.searchsorted(known, windows, "left"), np.searchsorted(known, windows, "right")
-        hit = np.flatnonzero(last > first)
-        if not len(hit):
+        met = [known.meet(Words.windows(h, size)) for known, h in zip(both, hashes)]
+        item, at, doc_at = (np.concatenate(x) for x in zip(*met))
+        if not len(item):
             continue
-        many = last[hit] - first[hit]
-        rows = np.repeat(first[hit] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-        item, at, doc_at = item_of[rows], place[rows], np.repeat(hit, many)
-        order = np.lexsort((doc_at - at, item))
+        order = np.lexsort((at, doc_at - at, item))
         item, at, doc_at = item[order], at[order], doc_at[order]
+        fresh = np.concatenate([[True], (item[1:] != item[:-1]) | (at[1:] != at[:-1]) | (doc_at[1:] != doc_at[:-1])])  # once, if found by both
+        item, at, doc_at = item[fresh], at[fresh], doc_at[fresh]
         starts = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1]]))
         for a, b in zip(starts, np.append(starts[1:], len(item))):
             i, total = int(item[a]), int(index.totals[item[a]])

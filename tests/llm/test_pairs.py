@@ -203,6 +203,45 @@ def test_decontamination_query(spark, sf, docs):
     assert {(r.doc_id, r.item_id) for r in queries.op9_decontamination(spark, sf).collect()} == truth
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "x y z " + ITEM.upper() + " BLA BLA",
+        "x y z " + ITEM.lower() + " bla bla",
+        "TOM HAS 7 APPLES AND GIVES 4 APPLES TO ANNA. HOW MANY APPLES DOES TOM HAVE AFTER 9 DAYS ?",
+        "".join(c.upper() if i % 2 else c.lower() for i, c in enumerate(ITEM)),
+    ],
+)
+def test_templates_in_other_case(text):
+    index = decontaminate.Index.of([(1, ITEM), (2, ""), (3, None)])
+    assert [i for i, _ in decontaminate.contained(text, decontaminate.Words(), index)] == [0]
+
+
+def share_of_windows(text, item):
+    """Share of an item's five-word windows, in lower case and without punctuation at the edges, that are in a text."""
+    bare = lambda x: [w for w in (re.sub(r"^\W+|\W+$", "", w) for w in x.lower().split()) if w]
+    windows = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    there = set(windows(bare(text)))
+    return sum(w in there for w in windows(bare(item))) / len(windows(bare(item)))
+
+
+def test_decontamination_in_other_case(spark, sf):
+    """Documents of another size that hold an item in capitals, among others; truth in lower case."""
+    large = sf.replace("sf0.001", "sf0.1")
+    docs = spark.read.parquet(f"{large}/documents.parquet").where("doc_id in (8376, 6420, 1699) or doc_id < 300")
+    items = spark.read.parquet(f"{large}/benchmark.parquet")
+    truth = {(d.doc_id, i.item_id) for d in docs.collect() for i in items.collect() if share_of_windows(d.text, i.text) >= 0.8}
+    assert {(8376, 101), (6420, 37), (1699, 130)} <= truth
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()} == truth
+
+
+def test_words_start_anew():
+    words, few = decontaminate.Words(), decontaminate.Words()
+    few.memo.limit = 7
+    for text in ["a b c d e", "5kg , of Tom's $5", "d e f g h a b c d e f i j k l", "", "a $5 Tom"]:
+        assert (words.hashes(text) == few.hashes(text)).all()
+
+
 def test_decontamination_odd(spark, odd, empty):
     items = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog"), (2, None), (None, "seven small birds"), (4, "")], "item_id bigint, text string")
     for block in (10**6, 3):  # one block, and a block for each item
