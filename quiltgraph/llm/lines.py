@@ -2,9 +2,10 @@
 
 Lines are compared in lower case with white space collapsed. A line's signature is a one-permutation
 MinHash of its eight-byte shingles: one hash a shingle, the least value in each of ``BANDS * ROWS`` bins,
-empty bins filled from the next full one. Lines that share a band meet in its bucket, where each joins a
-leader whose signature is not far from its own; the components of these loose links are clusters, which
-any two similar bucket mates share. Within a cluster every line is compared by the exact Jaccard
+empty bins filled from the next full one. Lines that share a band meet in its bucket, where all are tested
+against each other by a few bytes: lines of fewer than ``LONG`` shingles by counts of their shingles in bins,
+a bound that no similar pair fails; longer ones by their signatures, which a similar pair fails with probability
+below 1e-6. The components of these loose links are clusters. Within a cluster every line is compared by the exact Jaccard
 similarity of the shingle sets, large clusters as pairs of blocks, and the components of verified links
 are found. The first line of each component stays.
 """
@@ -24,10 +25,16 @@ from . import common
 SIMILARITY = 0.8
 #: At similarity 0.8 a pair shares a band with probability 1 - (1 - 0.8^4)^9 = 0.991, at 0.9 with 0.9998.
 BANDS, ROWS = 9, 4
+RECORD = BANDS + 3
 SHINGLE = 8  # bytes
-#: Bins of the sketch that goes with a line into its buckets, four bits each, and how many equal ones
-#: bring a line to a leader: lines that share little have 3 or 4, lines at 0.35 about 12.
+#: Bins of the sketch or counts that go with a line into its buckets, four bits each, and how many equal ones
+#: of the sketch link long lines: lines that share little have 3 or 4, lines at 0.35 about 12, at 0.8 about 26.
 SKETCH, LOOSE = 32, 12
+#: Distinct shingles from which lines are linked by sketches: no bin is then filled from another's value, and
+#: twelve of 32 equal places are missed with probability below 1e-6 at 0.8.
+LONG = 256
+#: Lines of a bucket up to which many buckets' pairs are tested at once.
+FEW = 16
 #: Lines, or bytes of lines, of a cluster compared in one task; larger ones are dealt out as pairs of blocks.
 BLOCK_LINES, BLOCK_BYTES = 1024, 4_000_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -88,12 +95,45 @@ def sketches(values: np.ndarray) -> np.ndarray:
     return (bits << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64).view(np.int64)
 
 
-def unlike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """In how many of the ``SKETCH`` places the sketches ``a`` and ``b`` (uint64 pairs) differ."""
-    x = a ^ b
-    x |= x >> np.uint64(1)
-    x |= x >> np.uint64(2)
-    return np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(-1)
+def profiles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """How many distinct shingles each of at most 1024 lines has, and ``(lines, 2)`` bigint: how many of them, modulo 16, lie in each of ``SKETCH`` bins."""
+    found, counts = shingles(lines)
+    h = found * _MIX[1]
+    h ^= h >> np.uint64(29)
+    h *= _MIX[0]
+    keys = (np.repeat(np.arange(len(lines), dtype=np.uint64), counts) << np.uint64(54)) | (h >> np.uint64(10))
+    keys.sort()
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+    bins = np.bincount((keys >> np.uint64(49)).astype(np.int64), minlength=len(lines) * SKETCH).reshape(len(lines), 2, 16)
+    return bins.sum((1, 2)), ((bins.astype(np.uint64) & np.uint64(15)) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64).view(np.int64)
+
+
+def records(lines: list[bytes], similarity: float = SIMILARITY) -> list[np.ndarray]:
+    """For each line ``RECORD`` numbers: keys of its bands, the sketch or counts, and the count of shingles, negative with a sketch.
+
+    Lines that can be similar both to shorter and to longer ones than ``LONG`` have both records.
+    """
+    values, (n, bins) = signatures(lines), profiles(lines)
+    keys = band_keys(values)
+    short = np.concatenate([keys, bins, n[:, None]], 1)
+    long = np.concatenate([keys ^ np.int64(0x5BD1E995), sketches(values), -n[:, None]], 1)
+    return [np.concatenate([*([x] if m * similarity < LONG else []), *([y] if m >= LONG else [])]) for x, y, m in zip(short, long, n.tolist())]
+
+
+def near(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
+    """Which pairs of bucket mates, given as (bins, count), may be similar."""
+    (x, n), (y, m) = a, b
+    sized = np.minimum(np.abs(n), np.abs(m)) >= similarity * np.maximum(np.abs(n), np.abs(m)) - 1e-9
+    d = (x - y) & np.uint8(15)
+    # the sets differ in at least as many shingles as the counts of their bins
+    alike = np.minimum(d, np.uint8(16) - d).sum(-1) <= (np.abs(n) + np.abs(m)) * ((1 - similarity) / (1 + similarity)) + 1e-9
+    return sized & np.where(n > 0, alike, (d == 0).sum(-1) >= LOOSE)
+
+
+def unpacked(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """``(lines, SKETCH)`` numbers of four bits."""
+    x = np.ascontiguousarray(np.stack([low, high], 1)).view(np.uint8)
+    return np.concatenate([x & np.uint8(15), x >> np.uint8(4)], 1)
 
 
 def jaccard(a: bytes, b: bytes) -> float:
@@ -112,10 +152,10 @@ def numbers(lines: list[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(x) for x in lines], np.uint64).view(np.int64)
 
 
-def line_table(docs: DataFrame) -> DataFrame:
+def line_table(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``(key, doc_id, line, number, bands)`` of every line with a word; ``bands`` once a task for each number.
 
-    ``bands`` has the keys of the bands and then the two parts of the sketch.
+    ``bands`` has one or two of the line's :func:`records`.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,74 +174,90 @@ def line_table(docs: DataFrame) -> DataFrame:
                     continue
                 number = numbers(lines)
                 new = [i for i, x in enumerate(number.tolist()) if not (x in seen or seen.add(x))]
-                made = [np.empty((0, BANDS + 2), np.int64)]
-                for at in range(0, len(new), 1000):
-                    values = signatures([lines[i] for i in new[at : at + 1000]])
-                    made.append(np.concatenate([band_keys(values), sketches(values)], 1))
-                bands = np.concatenate(made)
+                made = [x for at in range(0, len(new), 1000) for x in records([lines[i] for i in new[at : at + 1000]], similarity)]
+                bands = np.concatenate([np.empty(0, np.int64), *made])
                 ends = np.zeros(len(lines) + 1, np.int32)
-                ends[np.array(new, np.int64) + 1] = BANDS + 2
+                ends[np.array(new, np.int64) + 1] = [len(x) for x in made]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(number), pa.ListArray.from_arrays(pa.array(np.cumsum(ends), pa.int32()), pa.array(bands.ravel()))],
+                    [pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(number), pa.ListArray.from_arrays(pa.array(np.cumsum(ends), pa.int32()), pa.array(bands))],
                     names=["key", "doc_id", "line", "number", "bands"],
                 )
 
     return docs.select("__key", F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "key bigint, doc_id bigint, line int, number bigint, bands array<bigint>")
 
 
-def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """The columns of each run of rows equal in the first column that differ in the second, for numeric columns in sorted batches."""
-    rest = None
+def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Columns of sorted numeric batches, with starts and ends of the runs of rows equal in the first column that differ in the second."""
+    rest: list[list[np.ndarray]] = []
+
+    def whole(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+        return [np.concatenate(x) for x in zip(*parts)]
+
     for batch in batches:
         columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
-        if rest is not None:
-            columns = [np.concatenate(x) for x in zip(rest, columns)]
+        if rest and columns[0][-1] == rest[0][0][0]:  # the run goes on
+            rest.append(columns)
+            continue
+        columns = whole([*rest, columns])
         starts = np.concatenate([[0], np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1])
         # most runs are one line, or one line that several tasks have sent
-        for i in np.flatnonzero(columns[1][starts[:-1]] != columns[1][starts[1:] - 1]):
-            yield [x[starts[i] : starts[i + 1]] for x in columns]
-        rest = [x[starts[-1] :] for x in columns]
-    if rest is not None and rest[1][0] != rest[1][-1]:
-        yield rest
-
-
-def leaders(numbers: np.ndarray, sketch: np.ndarray, chunk: int = 4096) -> list[tuple[int, int]]:
-    """(line, leader) for every line near an earlier leader of the bucket; the others become leaders."""
-    found: list[tuple[int, int]] = []
-    names, heads = np.empty(0, numbers.dtype), np.empty((0, 2), np.uint64)
-    for at in range(0, len(numbers), chunk):
-        n, s = numbers[at : at + chunk], sketch[at : at + chunk]
-        for name, head in zip(names, heads):
-            if not len(n):
-                break
-            near = unlike(s, head) <= SKETCH - LOOSE
-            found += [(int(x), int(name)) for x in n[near]]
-            n, s = n[~near], s[~near]
-        while len(n):
-            name, head = n[0], s[0]
-            names, heads = np.append(names, name), np.concatenate([heads, s[:1]])
-            n, s = n[1:], s[1:]
-            near = unlike(s, head) <= SKETCH - LOOSE
-            found += [(int(x), int(name)) for x in n[near]]
-            n, s = n[~near], s[~near]
-    return found
-
-
-def mates(lines: DataFrame) -> DataFrame:
+        full = np.flatnonzero(columns[1][starts[:-1]] != columns[1][starts[1:] - 1])
+        yield columns, starts[:-1][full], starts[1:][full]
+        rest = [[x[starts[-1] :] for x in columns]]
+    if rest:
+        columns = whole(rest)
+        if columns[1][0] != columns[1][-1]:
+            yield columns, np.array([0]), np.array([len(columns[0])])
+
+
+def loose(numbers: np.ndarray, bins: np.ndarray, sizes: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of a spanning forest of the lines of one bucket linked by :func:`near`, each tested against all not yet reached."""
+    left, right, rest = [], [], np.arange(len(numbers))
+    while len(rest) > 1:
+        front, rest = [rest[0]], rest[1:]
+        while front and len(rest):
+            x = front.pop()
+            found = near((bins[x], sizes[x]), (bins[rest], sizes[rest]), similarity)
+            if found.any():
+                left.append(np.full(found.sum(), numbers[x]))
+                right.append(numbers[rest[found]])
+                front += rest[found].tolist()
+                rest = rest[~found]
+    return tuple(np.concatenate([np.empty(0, np.int64), *x]) for x in (left, right))
+
+
+def mates(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``(a, b)``: loose links that join all similar lines of each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[int, int]] = []
-        for _, number, low, high in sorted_groups(batches):
-            fresh = np.concatenate([[True], number[1:] != number[:-1]])
-            found += leaders(number[fresh], np.stack([low[fresh], high[fresh]], 1).view(np.uint64))
-            if len(found) >= 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
-                found = []
-        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-    rows = lines.where(F.size("bands") > 0).select(F.explode(F.slice("bands", 1, BANDS)).alias("band"), "number", F.col("bands")[BANDS].alias("low"), F.col("bands")[BANDS + 1].alias("high"))
-    return rows.repartition("band").sortWithinPartitions("band", "number").mapInArrow(run, "a bigint, b bigint")
+        for (band, number, low, high, size), starts, ends in sorted_groups(batches):
+            many = ends - starts
+            rows = np.repeat(starts - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            fresh = np.ones(len(rows), bool)
+            fresh[1:] = (number[rows][1:] != number[rows][:-1]) | (band[rows][1:] != band[rows][:-1])
+            rows = rows[fresh]
+            if not len(rows):
+                continue
+            band, number, size, bins = band[rows], number[rows], size[rows], unpacked(low[rows], high[rows])
+            starts = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
+            ends = np.append(starts[1:], len(band))
+            many, found = ends - starts, []
+            # small buckets: each line with the one d places further on
+            few = np.repeat(np.where(many <= FEW, ends, 0), many)
+            for d in range(1, FEW):
+                x = np.flatnonzero(np.arange(len(band)) + d < few)
+                if not len(x):
+                    break
+                x = x[near((bins[x], size[x]), (bins[x + d], size[x + d]), similarity)]
+                found.append((number[x], number[x + d]))
+            for i in np.flatnonzero(many > FEW):
+                here = slice(starts[i], ends[i])
+                found.append(loose(number[here], bins[here], size[here], similarity))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["a", "b"])
+
+    rows = lines.where(F.size("bands") > 0)
+    one = [rows.where(F.size("bands") > at).select(F.explode(F.slice("bands", at + 1, BANDS)).alias("band"), "number", *(F.col("bands")[at + BANDS + i].alias(n) for i, n in enumerate(("low", "high", "size")))) for at in (0, RECORD)]
+    return one[0].unionAll(one[1]).repartition("band").sortWithinPartitions("band", "number").mapInArrow(run, "a bigint, b bigint")
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -287,14 +343,14 @@ def verified(clusters: DataFrame, texts: DataFrame, similarity: float = SIMILARI
 
 def classes(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``(node, root)``: the components of fuzzily equal lines, those of two lines or more."""
-    clusters = common.written(common.components(mates(lines), "line-mates"), "line-mates")
+    clusters = common.written(common.components(mates(lines, similarity), "line-mates"), "line-mates")
     texts = common.written(texts_of(docs, clusters.select(F.col("node").alias("number"))), "line-texts")
     return common.components(verified(clusters, texts, similarity), "line-components")
 
 
 def removals(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``(key, lines)``: numbers of the lines to take out of each of the :func:`keyed` documents that have such."""
-    lines = common.written(line_table(docs), "lines")
+    lines = common.written(line_table(docs, similarity), "lines")
     roots = classes(docs, lines, similarity)
     # order of documents: by id, null first, then by key
     place = F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "key", "line")

@@ -178,6 +178,54 @@ def test_line_signatures():
     assert same > 300 and missed / same < 0.02
 
 
+def similar_mates(texts):
+    """Pairs of lines that share a band and reach the similarity."""
+    found = {}
+    for i, keys in enumerate(lines.band_keys(lines.signatures(texts)).tolist()):
+        for k in keys:
+            found.setdefault(k, []).append(i)
+    pairs = {(i, j) for here in found.values() for i in here for j in here if i < j}
+    return [(i, j) for i, j in pairs if lines.jaccard(texts[i], texts[j]) >= 0.8]
+
+
+def test_short_lines(spark):
+    """Lines of few shingles: every two bucket mates similar enough end in one class."""
+    texts = [f"chapter {n}".encode() for n in [227, 2274, *range(0, 3000, 7)]] + [f"{w} part {n} of the book".encode() for w in "abc" for n in range(200)]
+    texts = sorted(set(texts))
+    pairs = similar_mates(texts)
+    assert len(pairs) > 100 and (texts.index(b"chapter 227"), texts.index(b"chapter 2274")) in pairs
+    docs = lines.keyed(spark.createDataFrame([(i, x.decode()) for i, x in enumerate(texts)], "doc_id bigint, text string"))
+    root = {r.node: r.root for r in lines.classes(docs, common.written(lines.line_table(docs), "lines")).collect()}
+    number = lines.numbers(texts).tolist()
+    assert [(texts[i], texts[j]) for i, j in pairs if root.get(number[i], -1) != root.get(number[j], -2)] == []
+
+
+def test_short_pair(spark):
+    """Two headings at 0.8 that share bands, and no third line that links them."""
+    assert similar_mates([b"chapter 227", b"chapter 2274"]) == [(0, 1)]
+    got = lines.dedup(spark.createDataFrame([(1, "chapter 227"), (2, "chapter 2274")], "doc_id bigint, text string"))
+    assert {r.doc_id: r.text for r in got.collect()} == {1: "chapter 227", 2: ""}
+
+
+def test_lines_of_any_length_may_meet():
+    """No similar pair fails the test in the bucket, around the length where it changes too."""
+    rng, tested = random.Random(8), 0
+    for n in [1, 2, 5, 12, 40, 100, 200, 240, 250, 260, 275, 300, 315, 330, 400, 900]:
+        for _ in range(60):
+            a = "".join(rng.choice("abcdefghijklmnop ") for _ in range(n + 7))
+            cut = rng.randint(0, max(1, n // 5))
+            b = a[cut:] if rng.random() < 0.5 else a + "".join(rng.choice("xyz") for _ in range(cut))
+            x, y = lines.normal(a), lines.normal(b)
+            if not x or not y or lines.jaccard(x, y) < 0.8:
+                continue
+            made = [r.reshape(-1, lines.RECORD) for r in lines.records([x, y])]
+            bins = [(lines.unpacked(r[:, -3], r[:, -2]), r[:, -1]) for r in made]
+            common_kinds = [(i, j) for i in range(len(made[0])) for j in range(len(made[1])) if (made[0][i, -1] > 0) == (made[1][j, -1] > 0)]
+            assert any(lines.near((bins[0][0][i], bins[0][1][i]), (bins[1][0][j], bins[1][1][j])) for i, j in common_kinds)
+            tested += 1
+    assert tested > 500
+
+
 ITEM = "Tom has 5 apples and gives 3 apples to Anna . How many apples does Tom have after 2 days ?"
 
 
