@@ -8,7 +8,8 @@ of both templates, are hash-joined with those of the documents. Where enough win
 together in a document, the slots are checked: each value of the item must stand for one value of the document
 throughout, and no two values of one type for the same; windows that break this do not count, unless they
 have the item's own words. An item whose counted windows are at least 0.8 of its own is contained in the
-document.
+document. Where no place of the document has as many, its windows are counted over the whole document, each at
+the shift that most of the item's windows share.
 
 The benchmark's windows are sent to the executors in blocks of bounded size; each block is one pass over
 the documents, which are never shuffled.
@@ -200,6 +201,20 @@ def consistent(pairs: list[tuple[int, int]], item: list[tuple[str, str]], doc: l
     return len(good)
 
 
+def spread(at: np.ndarray, doc_at: np.ndarray) -> list[tuple[int, int]]:
+    """For each of an item's windows, the pairs of window and place in the document that stand in the shift with most of its windows.
+
+    Pieces of an item lie at shifts of their own, however far apart; a window that stands by chance at
+    other shifts too is taken from the piece with most windows, from all of them if several have as many.
+    """
+    shift, where = np.unique(doc_at - at, return_inverse=True)
+    many = np.bincount(where, minlength=len(shift))[where]
+    most = np.zeros(at.max() + 1, np.int64)
+    np.maximum.at(most, at, many)
+    good = many == most[at]
+    return list(zip(at[good].tolist(), doc_at[good].tolist()))
+
+
 def contained(text: str | None, words: Words, index: Index, similarity: float = SIMILARITY) -> list[tuple[int, float]]:
     """Numbers of the items in a text, with the share of their windows found."""
     hashes, found, doc = words.hashes(text), [], None
@@ -235,6 +250,8 @@ def contained(text: str | None, words: Words, index: Index, similarity: float =
                     best = max(best, consistent(list(zip(at[near].tolist(), doc_at[near].tolist())), own, doc, size))
                 if best == total:
                     break
+            if best < need and len(set(at[a:b].tolist())) >= need:
+                best = max(best, consistent(spread(at[a:b], doc_at[a:b]), own, doc, size))
             if best >= need:
                 found.append((i, best / total))
     return sorted(found)

@@ -265,6 +265,20 @@ def test_templates_in_other_case(text):
     assert [i for i, _ in decontaminate.contained(text, decontaminate.Words(), index)] == [0]
 
 
+def test_template_in_pieces():
+    """24 words with 15, or 300, others in the middle: 16 of 20 windows are left."""
+    item = [f"w{chr(97 + i)}" for i in range(24)]
+    index = decontaminate.Index.of([(1, " ".join(item))])
+    for n in (15, 300):
+        text = [*item[:12], *(f"x{chr(97 + i % 26)}" for i in range(n)), *item[12:]]
+        assert decontaminate.contained(" ".join(text), decontaminate.Words(), index) == [(0, 0.8)]
+    # a value that stands for another in each piece: the windows with it do not all count
+    item[3] = item[20] = "Tom"
+    index = decontaminate.Index.of([(1, " ".join(item))])
+    text = ["Jim" if i == 3 else "Bob" if i == 20 else w for i, w in enumerate(item)]
+    assert decontaminate.contained(" ".join([*text[:12], *["x"] * 40, *text[12:]]), decontaminate.Words(), index) == []
+
+
 def share_of_windows(text, item):
     """Share of an item's five-word windows, in lower case and without punctuation at the edges, that are in a text."""
     bare = lambda x: [w for w in (re.sub(r"^\W+|\W+$", "", w) for w in x.lower().split()) if w]
