@@ -249,8 +249,8 @@ def find(docs: DataFrame, text: str = "text", model: Model | None = None) -> Dat
     """``docs`` with ``base`` and ``spans``: arrays of (kind, start, end, value, score) by kind, then start.
 
     Positions count code points, ends are exclusive; base spans score 2. Added spans overlap no base span
-    and no neighbour with a higher score (at equal scores the earlier in kind and start stays); neighbours
-    are the four before and after in order of start. A null text counts as empty and has no spans. Texts
+    and no other added one: they are taken by score (at equal scores by kind, then start), each that overlaps
+    none taken before. A null text counts as empty and has no spans. Texts
     are read whole; repeated rows get equal spans; an empty table gives an empty one; other columns stay,
     but for ones named ``base`` or ``spans``.
     """
@@ -264,15 +264,16 @@ def find(docs: DataFrame, text: str = "text", model: Model | None = None) -> Dat
     def passes(s: Column) -> Column:
         return reduce(lambda rest, k: rest | ((s["kind"] == k) & (s["score"] >= F.lit(float(model.thresholds[k])))), range(len(KINDS)), F.lit(False))
 
-    ordered = F.array_sort(F.filter(F.transform("__loose", scored), passes), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"]))
+    def by_rank(a: Column, b: Column) -> Column:
+        return F.when(a["score"] != b["score"], F.when(a["score"] > b["score"], -1).otherwise(1)).when(a["kind"] != b["kind"], a["kind"] - b["kind"]).otherwise(a["start"] - b["start"])
+
+    ordered = F.array_sort(F.filter(F.transform("__loose", scored), passes), by_rank)
     found = found.withColumn("__loose", F.when(F.size("__loose") == 0, F.col("__loose")).otherwise(ordered))
 
-    def beaten(s: Column, i: Column) -> Column:
-        near = F.slice("__loose", F.greatest(i - 3, F.lit(1)), F.lit(9))
-        better = lambda o: (o["score"] > s["score"]) | ((o["score"] == s["score"]) & ((o["kind"] < s["kind"]) | ((o["kind"] == s["kind"]) & (o["start"] < s["start"]))))
-        return F.exists(near, lambda o: (o["start"] < s["end"]) & (o["end"] > s["start"]) & better(o))
+    def take(taken: Column, s: Column) -> Column:
+        return F.when(F.exists(taken, lambda o: (o["start"] < s["end"]) & (o["end"] > s["start"])), taken).otherwise(F.concat(taken, F.array(s)))
 
-    kept = F.when(F.size("__loose") < 2, F.col("__loose")).otherwise(F.filter("__loose", lambda s, i: ~beaten(s, i)))
+    kept = F.when(F.size("__loose") < 2, F.col("__loose")).otherwise(F.aggregate("__loose", F.filter("__loose", lambda s: F.lit(False)), take))
     by_kind = lambda a, b: F.when(a["kind"] != b["kind"], a["kind"] - b["kind"]).otherwise(a["start"] - b["start"])
     return found.withColumn("spans", F.array_sort(F.concat("__base", kept), by_kind)).withColumnRenamed("__base", "base").drop("__text", "__loose")
 

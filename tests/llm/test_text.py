@@ -1,6 +1,7 @@
 """Operators on single documents or pages."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -290,3 +291,27 @@ def test_rules_sql(spark, sf):
     found = con.sql(queries.oracle_sql()["op6_quality_rules"])
     got = queries.op6_quality_rules(spark, sf).select(*found.columns).collect()
     assert sorted(map(tuple, got)) == sorted(found.fetchall())
+
+
+def test_pii_chains_of_overlapping_spans(spark, monkeypatch):
+    """Candidates are taken by score, each that overlaps none taken before, however many lie between."""
+    rng = random.Random(2)
+    cases = [[(0, 0, 10, 9.0), (1, 8, 20, 8.0), (2, 18, 30, 7.0)], [(0, 0, 100, 9.0), *((1, i, i + 2, 1.0) for i in range(1, 40, 3))], []]
+    cases += [[(rng.randrange(3), a, a + rng.randint(1, 12), float(rng.randint(1, 4))) for a in (rng.randrange(60) for _ in range(14))] for _ in range(30)]
+    # no two of a case share kind, start and score, so that the order is whole
+    cases = [list({(s[0], s[1], s[3]): s for s in sorted(set(case))}.values()) for case in cases]
+    truth = []
+    for case in cases:
+        taken = []
+        for s in sorted(case, key=lambda s: (-s[3], s[0], s[1])):
+            if all(s[1] >= o[2] or s[2] <= o[1] for o in taken):
+                taken.append(s)
+        truth.append(sorted(s[:3] for s in taken))
+    span = "struct<kind:int,start:int,end:int,value:string,score:double>"
+    rows = [(i, "t", [], [(k, a, b, str(v), None) for k, a, b, v in case], "t") for i, case in enumerate(cases)]
+    made = spark.createDataFrame(rows, f"doc_id bigint, text string, __base array<{span}>, __loose array<{span}>, __text string")
+    monkeypatch.setattr(pii, "proposed", lambda docs, text: made)
+    monkeypatch.setattr(pii, "features", lambda s, text: s["value"].cast("double"))
+    trees = type("Trees", (), {"column": staticmethod(lambda x: x)})
+    got = pii.find(made.select("doc_id", "text"), model=pii.Model(trees, (0.0,) * len(pii.KINDS))).collect()
+    assert [sorted((s.kind, s.start, s.end) for s in r.spans) for r in sorted(got, key=lambda r: r.doc_id)] == truth
