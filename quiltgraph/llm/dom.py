@@ -48,10 +48,23 @@ HINTS = {
     "comment": "comment comments reply replies respond discussion disqus thread reactions",
     "main": "content article post entry main story body text page prose articlebody",
 }
+#: What short blocks apart from the article say, by kind.
+CUES = {
+    "legal": re.compile(r"©|\(c\)\s*(?:19|20)\d\d|\b(?:copyright|all rights reserved|privacy policy|terms of (?:use|service)|imprint|impressum|mentions légales|aviso legal)\b", re.I),
+    "notice": re.compile(r"\b(?:cookies?|newsletter|subscribe|sign up|log in|sign in|accept|advertisement|sponsored|abonnieren|werbung|publicité|publicidad)\b", re.I),
+    "more": re.compile(r"^\W*(?:share|tweet|related|read more|read next|see also|more from|popular|comments?|\d+ comments?|leave a reply|skip to|back to top|home|menu)\b", re.I),
+}
+#: Words up to which a block is looked at for cues.
+CUE_WORDS = 40
 HINT_OF = {word: kind for kind, words in HINTS.items() for word in words.split()}
 CONTAINERS = ("body", "article", "main", "section", "div", "nav", "aside", "footer", "header", "form", "ul", "ol", "table", "td", "li", "blockquote")
 
 
+@lru_cache(len(RAW))
+def raw_end(tag: str) -> re.Pattern:
+    return re.compile(f"</{tag}", re.I | re.A)
+
+
 class Page:
     """Block elements of a page in document order, and its pieces of text with the element they belong to."""
 
@@ -59,7 +72,7 @@ class Page:
         self.tags, self.parents, self.hints = ["html"], [-1], [()]
         self.hidden = [False]
         self.pieces: list[tuple[int, str, bool]] = []  # element, text, whether a link
-        stack, links, at, lower = [0], 0, 0, None
+        stack, links, at = [0], 0, 0
         text = self._text
         while True:
             m = TOKEN.search(source, at)
@@ -84,9 +97,8 @@ class Page:
                     links = 0
                 continue
             if tag in RAW and not m[3].endswith("/"):
-                lower = source.lower() if lower is None else lower
-                end = lower.find(f"</{tag}", at)
-                close = source.find(">", end) if end >= 0 else -1
+                end = raw_end(tag).search(source, at)
+                close = source.find(">", end.start()) if end else -1
                 at = close + 1 if close >= 0 else len(source)
                 continue
             if tag in INLINE:
@@ -139,12 +151,14 @@ def hints(attributes: str) -> tuple[str, ...]:
 def features(page: Page) -> list[list[str]]:
     """Names of the features of each element."""
     n = len(page.tags)
-    own, linked = [0] * n, [0] * n
+    own, linked, said = [0] * n, [0] * n, [""] * n
     for element, text, link in page.pieces:
         if element >= 0:
             size = len(text.split())
             own[element] += size
             linked[element] += size * link
+            if size and own[element] <= CUE_WORDS:
+                said[element] += text
     whole, links = own[:], linked[:]
     for i in range(n - 1, 0, -1):
         whole[page.parents[i]] += whole[i]
@@ -152,7 +166,8 @@ def features(page: Page) -> list[list[str]]:
     found = []
     for i, tag in enumerate(page.tags):
         share = links[i] / whole[i] if whole[i] else 0
-        found.append(["bias", f"tag {tag}", *(f"hint {h}" for h in page.hints[i]), f"own {min(own[i], 40).bit_length()}", f"links {0 if not links[i] else 1 if share < 0.5 else 2}"])
+        cues = [f"cue {k} {own[i].bit_length()}" for k, p in CUES.items() if p.search(said[i])] if 0 < own[i] <= CUE_WORDS else ()
+        found.append(["bias", *cues, f"tag {tag}", *(f"hint {h}" for h in page.hints[i]), f"own {min(own[i], 40).bit_length()}", f"links {0 if not links[i] else 1 if share < 0.5 else 2}"])
     return found
 
 
@@ -229,7 +244,7 @@ def train(pages: list[tuple[str, list[int]]], rounds: int = 6, rate: float = 0.3
     return model
 
 
-def labelled_pages(n: int = 240, seed: int = 3) -> list[tuple[str, list[int]]]:
+def labelled_pages(n: int = 320, seed: int = 3) -> list[tuple[str, list[int]]]:
     """Pages written from common layouts, with the label of each element: the article's are 1, all else 0."""
     rng = np.random.default_rng(seed)
     pick = lambda *x: x[int(rng.integers(len(x)))]
@@ -267,9 +282,20 @@ def labelled_pages(n: int = 240, seed: int = 3) -> list[tuple[str, list[int]]]:
         inner += ["<br>", words(1, 20)] if maybe(0.1) else []
         return element("p", label, *inner)
 
+    def plain() -> tuple:
+        """A short block apart that only its words tell from the article."""
+        year, end = str(int(rng.integers(1990, 2031))), pick("", ".", " " + words(1, 6))
+        said = pick(
+            f"Copyright {year} {words(1, 3)}{end}", f"&copy; {year} {words(1, 4)}{end}", f"© {words(1, 3)} All rights reserved.", f"{words(1, 3)} Privacy Policy {words(0, 2)}", f"We use cookies {words(2, 12)}",
+            f"Subscribe to our newsletter{end}", f"Sign up {words(1, 6)}", f"Share this {words(0, 3)}", f"Related {words(1, 8)}", f"Read more{end}", f"Advertisement{end}", f"{int(rng.integers(2, 50))} comments", f"Home {words(1, 4)}", f"Back to top{end}",
+        )
+        return element("div", 0, element("p", 0, said)) if maybe(0.3) else element(pick("div", "p", "p", "span-box"), 0, said)
+
     def apart() -> tuple:
         """Something that is not the article."""
-        which = int(rng.integers(8))
+        which = int(rng.integers(9))
+        if which == 8:
+            return plain()
         if which == 0:
             return element("div", 0, *([words(2, 20)] if maybe(0.6) else [element("p", 0, words(2, 20))]), attributes=named("ad", "ads", "advert", "sponsored", "promo", "advertisement"))
         if which == 1:
@@ -309,6 +335,10 @@ def labelled_pages(n: int = 240, seed: int = 3) -> list[tuple[str, list[int]]]:
         elif shape == 4:
             story = element("div", 1, *body, attributes=named("content", "article", "post", "entry", "story"))
         parts = body if shape == 5 else [story]
+        if maybe(0.25):  # a page of plain blocks
+            parts = [element("div", 1, *body)] if maybe(0.5) else body
+            parts = [plain() for _ in range(int(rng.integers(0, 3)))] + parts + [plain() for _ in range(int(rng.integers(0, 3)))]
+            return [element("div", 0, *parts)] if maybe(0.3) else parts
         top = [menu()] if maybe(0.8) else []
         if maybe(0.4):
             top.insert(0, element("header", 0, *([element("h1", 0, link())] if maybe(0.4) else [element("p", 0, words(1, 6))]), *([menu()] if maybe(0.5) else [])))
