@@ -4,7 +4,7 @@ A shard file is, little-endian:
 
     magic "QTOK", version u32, id bytes u32 (2 or 4), rows u64, rows without an id u64, ids u64,
     smallest doc_id i64, section sizes u64 x 2, then the sections
-    boundaries (rows + 1 offsets, Elias-Fano), doc_ids (ascending, Elias-Fano over doc_id - smallest), ids
+    boundaries (rows + 1 offsets, Elias-Fano), doc_ids (ascending, Elias-Fano over the unsigned doc_id - smallest), ids
 
 An Elias-Fano section holds n ascending values below u in about n (2 + log2(u / n)) bits: the low
 ``l`` bits of each in an array, the rest as a unary bit vector, and the position of each 256th one of
@@ -40,19 +40,19 @@ SHARD_IDS = 4_000_000
 
 
 class EliasFano:
-    """Ascending values below 2**62 with constant-time access by select."""
+    """Ascending unsigned 64-bit values with constant-time access by select."""
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, samples: np.ndarray):
         self.n, self.low_bits, self.low, self.high, self.samples = n, low_bits, low, high, samples
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
-        values = np.asarray(values, np.int64)
+        values = np.asarray(values).astype(np.uint64)
         n = len(values)
         most = int(values[-1]) if n else 0
         low_bits = max(0, (most // n).bit_length() - 1) if n and most >= n else 0
-        low = np.packbits(((values[:, None] >> np.arange(low_bits)) & 1).astype(np.uint8).ravel(), bitorder="little") if low_bits else np.empty(0, np.uint8)
-        ones = (values >> low_bits) + np.arange(n)
+        low = np.packbits(((values[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little") if low_bits else np.empty(0, np.uint8)
+        ones = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         bits = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
         bits[ones] = 1
         return cls(n, low_bits, low, np.packbits(bits, bitorder="little"), ones[::STEP].astype(np.uint32))
@@ -78,12 +78,12 @@ class EliasFano:
         return (one - i) << self.low_bits | low
 
     def all(self) -> np.ndarray:
-        """All values."""
+        """All values, as unsigned numbers."""
         ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        values = (ones - np.arange(self.n)) << self.low_bits
+        values = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
         if self.low_bits:
             bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-            values |= (bits.astype(np.int64) << np.arange(self.low_bits)).sum(1)
+            values |= (bits.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
         return values
 
     def to_bytes(self) -> bytes:
@@ -102,7 +102,7 @@ def pack(doc_ids: list[int | None], lengths: list[int], ids: bytes, id_bytes: in
     """A shard of rows in ascending order, those without an id first. ``ids``: their ids, one after another."""
     known = np.array([d for d in doc_ids if d is not None], np.int64)
     first = int(known[0]) if len(known) else 0
-    bounds, names = (EliasFano.of(x).to_bytes() for x in (np.cumsum([0, *lengths]), known - first))
+    bounds, names = (EliasFano.of(x).to_bytes() for x in (np.cumsum([0, *lengths]), known.view(np.uint64) - np.int64(first).view(np.uint64)))
     return HEADER.pack(MAGIC, VERSION, id_bytes, len(doc_ids), len(doc_ids) - len(known), len(ids) // id_bytes, first, len(bounds), len(names)) + bounds + names + ids
 
 
@@ -118,7 +118,7 @@ class Shard:
         self.ids = np.frombuffer(view, f"<u{id_bytes}", self.n_ids, n_bounds + n_names)
 
     def doc_ids(self) -> list[int | None]:
-        return [None] * self.unnamed + (self.names.all() + self.first).tolist()
+        return [None] * self.unnamed + (self.names.all() + np.int64(self.first).view(np.uint64)).view(np.int64).tolist()
 
     def document(self, i: int) -> np.ndarray:
         """Ids of row ``i``."""
@@ -227,9 +227,10 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = 2,
 
     Manifest rows are ``part, shard, path, rows, ids, base``; ``base`` is the number of ids before the
     shard. Shards of tasks that failed or ran twice have other names and are in no manifest. Rows
-    without an id come first, rows of one id by text (null texts, which count as empty, first);
-    ``end_id`` is appended to each row. ``folder`` and ``tokenizer`` are paths that every executor sees.
-    An empty table gives an empty manifest; other columns are not read.
+    without an id come first, rows of one id by the first 32 characters of their text (null texts count as
+    empty), then by its hash; rows of one id, however many, may be dealt to several tasks. ``end_id`` is
+    appended to each row. ``folder`` and ``tokenizer`` are paths that every executor sees. An empty table
+    gives an empty manifest; other columns are not read. Ids may be any 64-bit numbers.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,9 +264,11 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = 2,
 
     files, root = open_fs(folder)
     files.create_dir(root)
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    # ascending partitions of ascending rows; the keys of one id stay in one partition
-    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    known = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), known.alias("text"), F.left(known, F.lit(32)).alias("head"), F.xxhash64(known).alias("hash"), F.monotonically_increasing_id().alias("row"))
+    # ascending partitions of ascending rows; all but the first key only split what one id has
+    keys = ("doc_id", "head", "hash", "row")
+    dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
     shards = common.written(dealt.mapInArrow(run, "part bigint, shard bigint, path string, rows bigint, ids bigint"), "token-shards")
     # one row a shard, so a window over all of them is small
     before = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -281,7 +284,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 with files.open_input_file(path) as data:
                     shard = Shard(data.read())
-                bounds, wide = shard.bounds.all(), memoryview(shard.ids.astype("<u4")).cast("B")
+                bounds, wide = shard.bounds.all().view(np.int64), memoryview(shard.ids.astype("<u4")).cast("B")
                 sums = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids(), pa.int64()), pa.array(base + bounds[:-1], pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
