@@ -182,10 +182,14 @@ def calibrate(model: Model, kept: list[tuple[str, int]], keep_right: float = 0.9
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """Model fitted on a bounded sample of the ``docs`` with a language, outside the held-out fold (null ids are not learned from)."""
+    """Model fitted on a bounded sample of the ``docs`` with a language, outside the held-out fold.
+
+    Null ids, texts and languages are not learned from, repeated rows once. The sample is bounded in rows
+    by ``per_language``, in languages by ``common.MOST_LABELS`` and in characters by ``common.FIT_CHARS``.
+    """
     known = docs.where(F.col("doc_id").isNotNull() & ~common.is_held_out("doc_id") & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    rows = sorted(common.bounded_sample(known, "lang", per_language).collect(), key=lambda r: (r[0] * 0x9E3779B97F4A7C15 % (1 << 64), *r))
-    return train([r[1] for r in rows], [r[2] for r in rows])
+    rows = common.fitting_rows(common.bounded_sample(known, "lang", per_language), "lang", per_language)
+    return train([r[0] for r in rows], [r[1] for r in rows])
 
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:

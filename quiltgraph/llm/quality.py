@@ -137,17 +137,18 @@ def train(texts: list[str | None], labels: list[int], weights: list[float] | Non
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label: int = PER_LABEL) -> Model:
     """Model fitted on a bounded sample of the labelled ``docs`` outside the held-out fold.
 
-    Reads doc_id and text of ``docs``, doc_id and ``label`` of ``labels``; null ids or labels are not
-    learned from.
+    Reads doc_id and text of ``docs``, doc_id and ``label`` of ``labels``; null ids and labels other than
+    0 and 1 are not learned from, repeated rows once. The sample is bounded in rows by ``per_label`` and in
+    characters by ``common.FIT_CHARS``.
     """
     known = labels.where(F.col("doc_id").isNotNull() & ~common.is_held_out("doc_id")).select("doc_id", F.col(label).cast("int").alias("label")).distinct()
+    known = known.where("label in (0, 1)")
     counts = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
-    chosen = common.bounded_sample(known, "label", per_label)
-    # bounded by per_label, so it can be sent to every executor
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").collect()
-    rows = sorted(rows, key=lambda r: (r[0] * 0x9E3779B97F4A7C15 % (1 << 64), r[0], r[2], r[1] or ""))
-    got = {k: sum(r[2] == k for r in rows) for k in counts}
-    return train([r[1] for r in rows], [r[2] for r in rows], [counts[r[2]] / got[r[2]] for r in rows])
+    # as many ids as per_label says, more only if their hashes are the same; so they can be sent to every executor
+    chosen = common.bounded_sample(known, "label", per_label).orderBy("place", "doc_id", "label").limit(4 * per_label)
+    rows = common.fitting_rows(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "label", per_label)
+    got = {k: sum(r[1] == k for r in rows) for k in counts}
+    return train([r[0] for r in rows], [r[1] for r in rows], [counts[r[1]] / got[r[1]] for r in rows])
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text", into: str = "score") -> DataFrame:
@@ -169,5 +170,6 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = KEEP_FROM) -> DataFrame:
     """``docs`` that a model fitted on those labelled scores ``threshold`` or more; columns stay as they are."""
-    scored = score(docs, fit(docs, labels), keep=tuple(docs.columns), into="__quality")
-    return scored.where(F.col("__quality") >= threshold).select(docs.columns)
+    (into,) = common.unused(docs.columns, "quality")
+    scored = score(docs, fit(docs, labels), keep=tuple(docs.columns), into=into)
+    return scored.where(F.col(into) >= threshold).select(docs.columns)
