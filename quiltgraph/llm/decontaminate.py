@@ -4,12 +4,13 @@ Words become a template: numbers, units and names (capitalised words) turn into
 question with other numbers or names keeps its template. Only names depend on case; a second template
 takes them as words, so a text in other case keeps that one (a window whose case and name both differ is
 not found: in other case a new name looks like a word). Windows of five template words of the benchmark,
-of both templates, are hash-joined with those of the documents. Where enough windows of an item lie close
-together in a document, the slots are checked: each value of the item must stand for one value of the document
-throughout, and no two values of one type for the same; windows that break this do not count, unless they
-have the item's own words. An item whose counted windows are at least 0.8 of its own is contained in the
-document. Where no place of the document has as many, its windows are counted over the whole document, each at
-the shift that most of the item's windows share.
+of both templates, are hash-joined with those of the documents; a window of placeholders alone says nothing and
+is joined by its words. Of the places that a window of an item has in the document, that one counts whose shift
+most of the item's windows share. Then the slots are checked: each value of the item must stand for one value of
+the document throughout, and no two values of one type for the same; windows that break this do not count, unless
+they have the item's own words. An item whose counted windows are at least 0.8 of its own is contained in the
+document. Where the whole document has fewer, stretches of one and a half times the item's length are tried, so
+that other copies elsewhere do not hide one. Time grows with the matches of the windows, not with their pairs.
 
 The benchmark's windows are sent to the executors in blocks of bounded size; each block is one pass over
 the documents, which are never shuffled.
@@ -18,6 +19,7 @@ the documents, which are never shuffled.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -81,30 +83,31 @@ class Words:
 
     def __init__(self) -> None:
         self.memo = common.Memo(self._number)
-        # of each word: its first template word and how many it has; of each template word: both hashes
-        self.words, self.tokens = np.empty((0, 2), np.int64), np.empty((0, 2), np.uint64)
+        # of each word: its first template word and how many it has; of each template word: hashes in both templates, and of the word
+        self.words, self.tokens = np.empty((0, 2), np.int64), np.empty((0, 3), np.uint64)
         self.n_words = self.n_tokens = 0  # in use; those not yet in the arrays:
         self.new_words: list[int] = []
         self.new_tokens: list[int] = []
 
     def _number(self, word: str) -> int:
         made = template(word)
-        self.new_words += (self.n_tokens + len(self.new_tokens) // 2, len(made))
+        self.new_words += (self.n_tokens + len(self.new_tokens) // 3, len(made))
         for kind, value in made:
-            digest = _digest(kind)
-            self.new_tokens += (digest, _digest(value) if kind == "<name>" else digest)
+            digest, own = _digest(kind), _digest(value or kind)
+            self.new_tokens += (digest, own if kind == "<name>" else digest, own)
         return len(self.memo)
 
     @staticmethod
     def _put(table: np.ndarray, n: int, new: list[int]) -> np.ndarray:
         """``table`` with the rows of ``new`` from row ``n`` on, larger if it must be."""
-        if n + len(new) // 2 > len(table):
-            table = np.concatenate([table[:n], np.empty((n + len(new), 2), table.dtype)])
-        table[n : n + len(new) // 2] = np.array(new, table.dtype).reshape(-1, 2)
+        rows = np.array(new, table.dtype).reshape(-1, table.shape[1])
+        if n + len(rows) > len(table):
+            table = np.concatenate([table[:n], np.empty((n + 2 * len(rows), table.shape[1]), table.dtype)])
+        table[n : n + len(rows)] = rows
         return table
 
     def hashes(self, text: str | None) -> np.ndarray:
-        """``(2, template words)``: hashes with names as placeholders, and with names as words."""
+        """``(3, template words)``: hashes with names as placeholders, with names as words, and of the words."""
         words = (text or "").split()
         if len(self.memo) + len(words) > self.memo.limit:  # a text's numbers must not start anew within it
             self.memo.clear()
@@ -113,48 +116,63 @@ class Words:
         numbers = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
         if self.new_words:
             self.words, self.tokens = self._put(self.words, self.n_words, self.new_words), self._put(self.tokens, self.n_tokens, self.new_tokens)
-            self.n_words, self.n_tokens = self.n_words + len(self.new_words) // 2, self.n_tokens + len(self.new_tokens) // 2
+            self.n_words, self.n_tokens = self.n_words + len(self.new_words) // 2, self.n_tokens + len(self.new_tokens) // 3
             self.new_words, self.new_tokens = [], []
         first, many = self.words[numbers].T
         at = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
         return np.ascontiguousarray(self.tokens[at].T)
 
     @staticmethod
-    def windows(hashes: np.ndarray, size: int) -> np.ndarray:
-        if len(hashes) < size:
-            return np.empty(0, np.uint64)
+    def mixed(hashes: np.ndarray, size: int) -> np.ndarray:
         total = np.zeros(len(hashes) - size + 1, np.uint64)
         for i in range(size):
             total = (total ^ hashes[i : len(hashes) - size + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
             total ^= total >> np.uint64(32)
         return total
 
+    @classmethod
+    def windows(cls, hashes: np.ndarray, size: int) -> list[np.ndarray]:
+        """Of both templates of :meth:`hashes`; windows without a word of their own are those of the words."""
+        if hashes.shape[1] < size:
+            return [np.empty(0, np.uint64)] * 2
+        found, own = [], None
+        for h in hashes[:2]:
+            total, upto = cls.mixed(h, size), np.concatenate([[0], np.cumsum(h == hashes[2])])
+            bare = np.flatnonzero(upto[size:] == upto[:-size])
+            if len(bare):
+                own = cls.mixed(hashes[2], size) if own is None else own
+                total[bare] = own[bare]
+            found.append(total)
+        return found
+
 
 @dataclass
 class Known:
-    """Windows of one size and template: sorted hashes with the item and position of each, and a table of their high bits."""
+    """Distinct windows of each item, of one size and template, sorted by hash: item, and where ``at`` lists its places in it."""
 
     hashes: np.ndarray
     item: np.ndarray
+    start: np.ndarray
     at: np.ndarray
-    table: np.ndarray
+    table: np.ndarray  # of the hashes' high bits
 
     @classmethod
     def of(cls, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Known:
         hashes, item, at = (np.concatenate(x) for x in zip(*parts))
-        order = np.argsort(hashes, kind="stable")
+        order = np.lexsort((at, item, hashes))
+        hashes, item, at = hashes[order], item[order], at[order]
+        fresh = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (item[1:] != item[:-1])]))
         bits = min(max(16, len(hashes).bit_length() + 4), 26)
         table = np.zeros(1 << bits, bool)
         table[hashes >> np.uint64(64 - bits)] = True
-        return cls(hashes[order], item[order], at[order], table)
+        return cls(hashes[fresh], item[fresh], np.append(fresh, len(at)), at, table)
 
-    def meet(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Item, position in it and position in ``windows`` of all equal pairs."""
+    def meet(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row of the index and place in ``windows`` of all equal pairs."""
         may = np.flatnonzero(self.table[windows >> np.uint64(65 - len(self.table).bit_length())])
         first, last = (np.searchsorted(self.hashes, windows[may], side) for side in ("left", "right"))
         many = last - first
-        rows = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        return self.item[rows], self.at[rows], np.repeat(may, many)
+        return np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum()), np.repeat(may, many)
 
 
 @dataclass
@@ -174,7 +192,7 @@ class Index:
             n = hashes.shape[1] - size + 1 if size else 0
             totals.append(n)
             if size:
-                found.setdefault(size, []).append([(Words.windows(h, size), np.full(n, i), np.arange(n)) for h in hashes])
+                found.setdefault(size, []).append([(h, np.full(n, i), np.arange(n)) for h in Words.windows(hashes, size)])
         return cls(items, {size: tuple(Known.of(x) for x in zip(*parts)) for size, parts in found.items()}, np.array(totals))
 
 
@@ -201,18 +219,52 @@ def consistent(pairs: list[tuple[int, int]], item: list[tuple[str, str]], doc: l
     return len(good)
 
 
-def spread(at: np.ndarray, doc_at: np.ndarray) -> list[tuple[int, int]]:
-    """For each of an item's windows, the pairs of window and place in the document that stand in the shift with most of its windows.
+Hits = list[tuple[np.ndarray, np.ndarray]]
 
-    Pieces of an item lie at shifts of their own, however far apart; a window that stands by chance at
-    other shifts too is taken from the piece with most windows, from all of them if several have as many.
+
+def aligned(hits: Hits, total: int, low: int, high: int) -> list[tuple[int, int]]:
+    """For each of an item's windows with a place in the document from ``low`` to ``high``, the one of the commonest shift.
+
+    ``hits`` are pairs of a window's places in the item and in the document, sorted. Pieces of an item lie
+    at shifts of their own; a window that stands by chance at other shifts too is taken from the piece with
+    most windows, the first of them if several have as many.
     """
-    shift, where = np.unique(doc_at - at, return_inverse=True)
-    many = np.bincount(where, minlength=len(shift))[where]
-    most = np.zeros(at.max() + 1, np.int64)
-    np.maximum.at(most, at, many)
-    good = many == most[at]
-    return list(zip(at[good].tolist(), doc_at[good].tolist()))
+    shifts = np.zeros(high - low + total, np.int32)  # a shift is counted once for each window
+    near = [(at, x) for at, doc_at in hits if len(x := doc_at[slice(*np.searchsorted(doc_at, (low, high)))] - low + total)]
+    for at, x in near:
+        for i in at.tolist():
+            shifts[x - i] += 1
+    best: dict[int, tuple[int, int]] = {}
+    for at, x in near:
+        for i in at.tolist():
+            many = shifts[x - i]
+            k = int(many.argmax())
+            best[i] = max(best.get(i, (0, 0)), (int(many[k]), -int(x[k])))  # by both templates
+    return [(i, low - total - at) for i, (_, at) in sorted(best.items())]
+
+
+def stretches(hits: Hits, length: int, need: float, apart: int) -> list[int]:
+    """Where stretches of the document begin that may hold enough of an item's windows: fullest first, none near another."""
+    at = np.concatenate([x for _, x in hits])
+    which = np.repeat(np.arange(len(hits)), [len(x) for _, x in hits])
+    order = np.argsort(at, kind="stable")
+    at, which = at[order].tolist(), which[order].tolist()
+    weights, inside, full, last, found = [len(x) for x, _ in hits], [0] * len(hits), 0, 0, []
+    for first, begin in enumerate(at):
+        while last < len(at) and at[last] < begin + length:
+            full += weights[which[last]] if not inside[which[last]] else 0
+            inside[which[last]] += 1
+            last += 1
+        if full >= need:
+            found.append((-full, begin))
+        inside[which[first]] -= 1
+        full -= weights[which[first]] if not inside[which[first]] else 0
+    taken: list[int] = []
+    for _, begin in sorted(found):
+        k = bisect_left(taken, begin)
+        if all(abs(begin - x) > apart for x in taken[max(k - 1, 0) : k + 1]):
+            taken.insert(k, begin)
+    return taken
 
 
 def contained(text: str | None, words: Words, index: Index, similarity: float = SIMILARITY) -> list[tuple[int, float]]:
@@ -221,37 +273,38 @@ def contained(text: str | None, words: Words, index: Index, similarity: float =
     for size, both in index.sizes.items():
         if hashes.shape[1] < size:
             continue
-        met = [known.meet(Words.windows(h, size)) for known, h in zip(both, hashes)]
-        item, at, doc_at = (np.concatenate(x) for x in zip(*met))
-        if not len(item):
-            continue
-        order = np.lexsort((at, doc_at - at, item))
-        item, at, doc_at = item[order], at[order], doc_at[order]
-        fresh = np.concatenate([[True], (item[1:] != item[:-1]) | (at[1:] != at[:-1]) | (doc_at[1:] != doc_at[:-1])])  # once, if found by both
-        item, at, doc_at = item[fresh], at[fresh], doc_at[fresh]
-        starts = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1]]))
-        for a, b in zip(starts, np.append(starts[1:], len(item))):
-            i, total = int(item[a]), int(index.totals[item[a]])
-            need = similarity * total - 1e-9
-            if b - a < need:
+        met, covered = [], np.zeros(len(index.totals), np.int64)
+        for known, windows in zip(both, Words.windows(hashes, size)):
+            rows, doc_at = known.meet(windows)
+            if len(rows):
+                order = np.lexsort((doc_at, rows, known.item[rows]))
+                rows, doc_at = rows[order], doc_at[order]
+                once = np.unique(rows)
+                np.add.at(covered, known.item[once], known.start[once + 1] - known.start[once])
+                met.append((known, rows, doc_at, known.item[rows]))
+        # an item has at most as many windows in the document as both templates together
+        for i in np.flatnonzero((covered > 0) & (covered >= similarity * index.totals - 1e-9)).tolist():
+            total = int(index.totals[i])
+            need, hits, has = similarity * total - 1e-9, [], np.zeros(total, bool)
+            for known, rows, doc_at, item in met:
+                a, b = np.searchsorted(item, (i, i + 1))
+                cut = np.flatnonzero(rows[a + 1 : b] != rows[a : b - 1]) + a + 1
+                for begin, end in zip([a, *cut], [*cut, b]):
+                    if begin < end:
+                        row = rows[begin]
+                        hits.append((known.at[known.start[row] : known.start[row + 1]], doc_at[begin:end]))
+                        has[hits[-1][0]] = True
+            if has.sum() < need:
                 continue
             doc = slots(text) if doc is None else doc
-            best, own = 0, slots(index.items[i][1])
-            # runs of nearby shifts: an inserted or deleted word shifts what follows
-            shift, slack = (doc_at - at)[a:b], total // 2 + 1
-            ends = np.searchsorted(shift, shift + slack, "right")
-            tried = 0
-            for k in range(b - a):
-                if k and (shift[k] == shift[k - 1] or ends[k] <= tried):
-                    continue
-                tried = ends[k]
-                near = slice(a + k, a + ends[k])
-                if len(set(at[near].tolist())) >= need:
-                    best = max(best, consistent(list(zip(at[near].tolist(), doc_at[near].tolist())), own, doc, size))
-                if best == total:
-                    break
-            if best < need and len(set(at[a:b].tolist())) >= need:
-                best = max(best, consistent(spread(at[a:b], doc_at[a:b]), own, doc, size))
+            own, whole = slots(index.items[i][1]), hashes.shape[1] - size + 1
+            best = consistent(aligned(hits, total, 0, whole), own, doc, size)
+            length = total + total // 2 + 1
+            if best < need and whole > length:
+                for begin in stretches(hits, length, need, total // 2):
+                    best = max(best, consistent(aligned(hits, total, begin, begin + length), own, doc, size))
+                    if best == total:
+                        break
             if best >= need:
                 found.append((i, best / total))
     return sorted(found)
@@ -303,6 +356,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_i
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that contain a benchmark item; columns stay as they are."""
-    marked = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    bad = common.written(leaks(marked.select("__row", "text"), benchmark, keep=("__row",)).select("__row").distinct(), "leaks")
-    return marked.join(bad, "__row", "left_anti").select(docs.columns)
+    row, bad, bad_id = common.unused(docs.columns, "row", "bad", "bad_id")
+    marked = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    found = leaks(marked.select(row, "doc_id", "text"), benchmark, keep=(row, "doc_id")).select(F.col(row).alias(bad), F.col("doc_id").alias(bad_id))
+    leaking = common.written(found.distinct(), "leaks")
+    return marked.join(leaking, (F.col(row) == F.col(bad)) & F.col("doc_id").eqNullSafe(F.col(bad_id)), "left_anti").select(docs.columns)
