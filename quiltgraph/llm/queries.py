@@ -22,10 +22,11 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, base counts by kind, the base spans' digest and all spans of every document."""
+    """doc_id, base counts by kind, the base spans' digest, all spans, all secrets, and how many spans and secrets, of every document."""
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [pii.of_kind("base", i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
-    return found.select("doc_id", *counts, F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+    every = (F.size("spans") + F.size("secrets")).cast("bigint").alias("n_found")
+    return found.select("doc_id", *counts, F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"), pii.listed("secrets").alias("secrets"), every)
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

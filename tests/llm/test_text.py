@@ -3,12 +3,14 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -58,6 +60,92 @@ def test_pii_adds_and_redacts(spark):
     assert got == ["call [PHONE] now or mail [EMAIL]", "on 2024-01-02 we read pages 120-130 of version 3.4.5", None]
 
 
+def test_running_folds(spark):
+    """Running sums and maxima of arrays of any length, across blocks."""
+    rng = random.Random(1)
+    rows = [([rng.randrange(-9, 99) for _ in range(n)],) for n in (0, 1, 2, 255, 256, 257, 600, 5000)]
+    df = spark.createDataFrame(rows, "x array<int>")
+    got = df.select(pii.running(F.col("x"), lambda a, b: a + b, F.lit(0)), pii.running(F.col("x"), F.greatest, F.lit(-100))).collect()
+    assert [list(map(list, r)) for r in got] == [[np.cumsum(x).tolist(), np.maximum.accumulate(np.array(x, int)).tolist()] for (x,) in rows]
+
+
+def brute_features(kind, value, before, after):
+    number, before = re.sub("[^0-9]", "", value), before.lower()
+    parts = [p for p in re.split("[^0-9A-Za-z]+", value) if p]
+    has = lambda p, x: float(regex.search(p, x) is not None)
+    found = {
+        "kind": kind, "length": len(value), "digits": len(number), "letters": len(re.sub("[^A-Za-z]", "", value)), "groups": len(parts), "first": len(parts[0]), "last": len(parts[-1]), "paren": "(" in value,
+        "luhn": 13 <= len(number) <= 19 and luhn(number), "brand": has(pii.BRAND, number), "dashes": value.count("-"), "dots": value.count("."), "spaces": value.count(" "), "slashes": value.count("/") + value.count("_"), "colons": value.count(":"),
+        "date": has(pii.DATE, value), "spelled": has(pii.SPELLED, value), "ending": has(pii.ENDING, value), "zero": number.startswith("0"), "distinct": len(set(value)), "hex": has("^[0-9a-f]+$", value), "cases": has("[a-z]", value) + has("[A-Z]", value) + has("[0-9]", value),
+        "quoted": has(r"[\x22']$", before), "assigned": has(r"[:=]\x20{0,2}[\x22']?$", before), **{f"near_{k}": has(p, before) for k, p in pii.CONTEXTS.items()}, "joined": has(r"[0-9A-Za-z][./_+-]?$", before) + has(r"^[./_+-]?[0-9A-Za-z]", after), "percent": has(r"^[\x20]?[%€$£]|^[,.][0-9]", after),
+    }
+    return [float(found[k]) for k in pii.FEATURES]
+
+
+def brute_added(text, model):
+    """Added spans of a text: candidates of every generator one by one, scored, taken greedily."""
+    base = [tuple(map(int, s.split(":")[1:])) for s in base_spans(text).split(",") if s]
+    candidates = set()
+    for kind, pattern, _ in pii.GENERATORS.values():
+        at = 0
+        for m in regex.finditer(pattern, text):
+            before = text[at : m.start()]
+            candidates.add((pii.ALL.index(kind), m.start(), m.end(), (text[:at] + before)[-pii.BEFORE :] if len(before) < pii.BEFORE else before[-pii.BEFORE :], text[m.end() : m.end() + pii.AFTER]))
+            at = m.end()
+    rows = [c for c in sorted(candidates) if all(c[2] <= a or c[1] >= b for a, b in base)]
+    if not rows:
+        return []
+    margin = model.trees.margin(np.array([brute_features(k, text[a:b], before, after) for k, a, b, before, after in rows]))
+    taken = []
+    for m, (k, a, b, *_) in sorted(zip(margin, rows), key=lambda x: (-x[0], x[1][:3])):
+        if m >= model.thresholds[k] and all(b <= c or a >= d for _, c, d in taken):
+            taken.append((k, a, b))
+    return sorted(taken)
+
+
+def planted(docs, n):
+    """Sentences with spans, and with numbers that are none, put between the words of documents: (text, planted (kind, start, end))."""
+    rng, found = random.Random(6), []
+    sentences = pii.written_sentences(n, seed=77)
+    for i, (said, kind, start, end) in enumerate(sentences):
+        words = docs[i % len(docs)].split()[:200]
+        at = rng.randrange(len(words) + 1)
+        head = " ".join(words[:at]) + "\n"
+        found.append((head + said + "\n" + " ".join(words[at:]), [(kind, len(head) + start, len(head) + end)] if kind >= 0 else []))
+    return found
+
+
+def test_pii_added_by_brute_force(spark, docs):
+    """Added spans equal those found one candidate at a time; most of what is planted is found, little else is."""
+    rows = planted([r.text or "" for r in docs.collect()], 1200)
+    model = pii.default_model(spark)
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "n int, text string")
+    got = {r.n: (sorted((s.kind, s.start, s.end) for s in [*r.spans, *r.secrets] if s.score != 2.0), [(s.start, s.end) for s in r.base]) for r in pii.find(df, model=model).collect()}
+    for i in range(0, len(rows), 4):
+        assert got[i][0] == brute_added(rows[i][0], model), rows[i][0]
+    right = wrong = missed = 0
+    for i, (_, truth) in enumerate(rows):
+        added, base = got[i]
+        near = lambda s, t: s[0] == t[0] and abs(s[1] - t[1]) <= 1 and abs(s[2] - t[2]) <= 1
+        own = [s for s in added if any(near(s, t) for t in truth)]
+        right, wrong = right + len(own), wrong + len(added) - len(own)
+        missed += sum(not any(near(s, t) for s in added) and not any(a < t[2] and b > t[1] for a, b in base) for t in truth)
+    print("added spans: precision", right / (right + wrong), "recall", right / (right + missed), "of", right + missed)
+    assert right / (right + wrong) > 0.93 and right / (right + missed) > 0.85
+
+
+def test_pii_long_texts(spark):
+    """Texts of thousands of spans take seconds, and columns of any name stay."""
+    began = time.time()
+    texts = [" ".join(f"a{i}@b{i}.com" for i in range(20_000)), " ".join(f"call (555) {i % 900 + 100}-{i % 9000 + 1000} or a{i}@b.org, 10.0.{i % 200}.7" for i in range(4000)), " ".join(str(i) for i in range(30_000))]
+    df = spark.createDataFrame([(t, i, 1, 2, 3, 4) for i, t in enumerate(texts)], "text string, __text int, base int, row int, loose int, digit int")
+    got = sorted(pii.redact(df).select("__text", "row", "loose", "digit", F.size("base").alias("n"), F.size("spans").alias("m"), "redacted").collect())
+    assert [tuple(r)[:4] for r in got] == [(i, 2, 3, 4) for i in range(3)]
+    assert [(r.n, r.redacted.count("[EMAIL]")) for r in got] == [(20_000, 20_000), (8000, 4000), (0, 0)]
+    assert got[1].m >= 11_000 and got[1].redacted.startswith("call [PHONE] or [EMAIL], [IP] call")
+    assert time.time() - began < 90
+
+
 def test_boosting_compiles(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 3))
@@ -123,6 +211,27 @@ def test_html_pages(spark, sf):
     assert {r.page_id: r.text for r in got} == truth and all(r.n_chars == len(r.text) for r in got)
 
 
+def test_html_raw_elements_after_wide_letters(spark, empty):
+    """A letter whose lower case is two code points does not shift what follows a script; tables may be empty."""
+    source = "<html><body><article><p>" + "İ" * 20 + "</p><SCRIPT>var a = '<p>no</p>';</sCript><p>second paragraph here with words</p></article></body></html>"
+    assert dom.extract(source, dom.default_model()) == "İ" * 20 + " second paragraph here with words"
+    none = spark.createDataFrame([], "page_id bigint, url string, html string, text int")
+    assert dom.main_text(none).count() == 0 and dom.main_text(none).columns == ["page_id", "url", "text", "n_chars"]
+    long = "<article>" + "<p>some words &amp; more</p>" * 40_000 + "</article>"
+    assert dom.extract(long, dom.default_model()) == " ".join(["some words & more"] * 40_000)
+
+
+def test_html_pages_of_plain_blocks():
+    """Without containers or class words the words of short blocks tell."""
+    prose = "<p>The river rose for three days before the bridge was closed, and nobody in the village slept.</p>"
+    for apart in ("Copyright 2020 us", "&copy; 2021 River News", "We use cookies to make this site better", "Subscribe to our newsletter", "Share this story"):
+        source = f"<html><body><div>{prose}{prose}</div><div>{apart}</div></body></html>"
+        text = dom.extract(source, dom.default_model())
+        assert text == " ".join([re.sub("<[^>]*>", "", prose)] * 2), (apart, text)
+    long = "<p>In the end the copyright of the book went to the school, whose teachers had kept every page of it in a box for years and years, until a lawyer from the city came.</p>"
+    assert "copyright of the book" in dom.extract(f"<html><body><div>{prose}{long}{prose}</div></body></html>", dom.default_model())
+
+
 def test_html_held_out_layouts():
     model, right, total = dom.default_model(), 0, 0
     for source, labels in dom.labelled_pages(80, seed=99):
@@ -204,6 +313,20 @@ def test_token_files_odd(odd, empty, wordy, tmp_path):
     assert tokenfile.read(tokenfile.write(empty, f"{tmp_path}/e", wordy), f"{tmp_path}/e").count() == 0
 
 
+def test_token_files_of_wide_ids(spark, wordy, tmp_path, empty):
+    """Ids over the whole range of 64 bits, and an id that a third of the rows share."""
+    rng = random.Random(2)
+    ids = [-(2**63), -(2**63) + 5, -1, 0, 1, 2**63 - 5, 2**63 - 1, None, None] + [rng.randrange(-(2**63), 2**63) for _ in range(50)] + [77] * 30
+    rows = [(d, rng.choice(["a b", "cat", None, f"dog {rng.randrange(9)}"])) for d in ids]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    manifest = tokenfile.write(df, f"{tmp_path}/w", wordy, shard_ids=40)
+    got = [tuple(r) for r in tokenfile.read(manifest, f"{tmp_path}/w").orderBy("start").collect()]
+    assert got == tokens_brute(rows, wordy)
+    for some in ([], [2**63 - 1], [-(2**63), 2**63 - 1], [-(2**63)] * 3 + [0, 2**63 - 1]):
+        shard = tokenfile.Shard(tokenfile.pack(some, [1] * len(some), b"\1\0" * len(some), 2))
+        assert shard.doc_ids() == some and [shard.document(i).tolist() for i in range(len(some))] == [[1]] * len(some)
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in queries.op5_quality(spark, sf).collect()}
@@ -213,6 +336,46 @@ def test_quality_held_out(spark):
     assert sum(p == q for p, q in held) / len(held) > 0.95
 
 
+def brute_ngrams(text, bits):
+    """Numbers of a text's n-grams, one at a time."""
+    crc, whole, found, words = (lambda x: zlib.crc32(x.encode("utf-8", "surrogatepass"))), 1 << 64, set(), (text or "").split()
+    p, q = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+    put = lambda h: found.add((h % whole >> 40) & ((1 << bits) - 1))
+    for i, w in enumerate(words):
+        put(crc(w.lower()) * p)
+        put(crc(quality.shape(w)) * q)
+        if i:
+            put((crc(words[i - 1].lower()) * q + crc(w.lower())) * p)
+            put((crc(quality.shape(words[i - 1])) * p + crc(quality.shape(w))) * q)
+        for k in range(1, 5):
+            if i >= k and len({x.lower() for x in words[i - k : i + 1]}) == 1:
+                put(k * 0x165667B19E3779F9)
+    return found
+
+
+def test_quality_query_by_brute_force(spark, sf, docs):
+    """Every score from n-grams counted one at a time and the model's weights; the weights from counted classes."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit(docs, labels)
+    got = {r.doc_id: r.score for r in queries.op5_quality(spark, sf).collect()}
+    for r in docs.collect():
+        margin = sum(float(model.weights[f]) for f in brute_ngrams(r.text, model.bits)) + model.bias
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-(model.scale * margin + model.shift)))) < 1e-6
+    rows, y = [np.array([1, 2]), np.array([2]), np.array([2, 3]), np.array([0])], np.array([1, 1, 0, 0])
+    counts = [[1 + sum(f in r for r, k in zip(rows, y) if k == label) for f in range(4)] for label in (0, 1)]
+    assert np.allclose(quality.ratios(rows, y, 4), [np.log(b / sum(counts[1])) - np.log(a / sum(counts[0])) for a, b in zip(*counts)])
+
+
+def test_fitting_rows_are_bounded(spark):
+    """Rows of repeated ids and long texts do not make the driver's share grow; the choice does not depend on partitions."""
+    rows = [(i % 40, "x" * (i % 7) + str(i % 60), "ab"[i % 2]) for i in range(4000)] + [(1, "y" * 9000, "a"), (2, None, "b"), (3, "z", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    take = lambda d: common.fitting_rows(common.bounded_sample(d, "lang", 20), "lang", 20, chars=400)
+    got = take(df)
+    assert got == take(df.repartition(7)) and 20 < len(got) <= 80 and sum(len(r[0]) for r in got) <= 400
+    assert all(sum(r[1] == k for r in got) <= 40 for k in "ab") and len({r[:2] for r in got}) > 20
+
+
 def test_dual_descent_finds_the_optimum():
     rng = np.random.default_rng(0)
     rows = [np.flatnonzero(rng.random(8) < 0.4) for _ in range(40)]
@@ -261,6 +424,42 @@ def test_language_held_out(spark):
     assert sum(r.lang_pred == truth[r.doc_id] for r in held) / len(held) > 0.97
 
 
+def brute_subwords(word, bits):
+    """Rows of the table of a word and its n-grams, one character at a time."""
+    m, whole, codes = 0x9E3779B97F4A7C15, 1 << 64, [ord(c) for c in f"<{word}>"]
+    total = 0
+    for i, c in enumerate(codes):
+        x = (c + i * 0x10FFFF) * m % whole
+        total += (x ^ x >> 29) * m
+    rows = [(total % whole) * m % whole >> 64 - bits]
+    for n in range(2, 6):
+        for i in range(len(codes) - n + 1):
+            h = codes[i] * m % whole
+            for c in codes[i + 1 : i + n]:
+                h = ((h ^ h >> 31) ^ c) * m % whole
+            rows.append(h >> 64 - bits)
+    return rows
+
+
+def test_language_query_by_brute_force(spark, sf, docs):
+    """Every prediction from subwords hashed one character at a time and averaged."""
+    model = language.fit(docs)
+    got = {r.doc_id: r for r in queries.op10_language(spark, sf).collect()}
+    known = {}
+    for r in docs.collect():
+        if not r.text or not any(map(str.isalpha, r.text)):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        total, n = np.zeros(len(model.names)), 0
+        for w in re.findall(r"[^\W\d_]+", r.text.lower()):
+            if w not in known:
+                rows = brute_subwords(w, model.bits)
+                known[w] = model.logits[rows].sum(0), len(rows)
+            total, n = total + known[w][0], n + known[w][1]
+        z = np.exp((total / max(n, 1) + model.bias) / model.temperature)
+        assert got[r.doc_id].lang_pred == model.names[int(z.argmax())] and abs(got[r.doc_id].score - z.max() / z.sum()) < 1e-6
+
+
 def test_language_odd(odd, empty):
     model = language.fit(odd)
     got = language.predict(odd, model).collect()
@@ -307,11 +506,10 @@ def test_pii_chains_of_overlapping_spans(spark, monkeypatch):
             if all(s[1] >= o[2] or s[2] <= o[1] for o in taken):
                 taken.append(s)
         truth.append(sorted(s[:3] for s in taken))
-    span = "struct<kind:int,start:int,end:int,value:string,score:double>"
-    rows = [(i, "t", [], [(k, a, b, str(v), None) for k, a, b, v in case], "t") for i, case in enumerate(cases)]
-    made = spark.createDataFrame(rows, f"doc_id bigint, text string, __base array<{span}>, __loose array<{span}>, __text string")
-    monkeypatch.setattr(pii, "proposed", lambda docs, text: made)
-    monkeypatch.setattr(pii, "features", lambda s, text: s["value"].cast("double"))
-    trees = type("Trees", (), {"column": staticmethod(lambda x: x)})
-    got = pii.find(made.select("doc_id", "text"), model=pii.Model(trees, (0.0,) * len(pii.KINDS))).collect()
+    rows = [((i, "t"), "t", [], [(k, a, b, str(v), "", "", None) for k, a, b, v in sorted(case, key=lambda s: s[1:3])]) for i, case in enumerate(cases)]
+    made = spark.createDataFrame(rows, f"row struct<doc_id:bigint,text:string>, text string, base {pii.SPAN}, loose {pii.SPAN}")
+    monkeypatch.setattr(pii, "proposed", lambda docs: made)
+    monkeypatch.setattr(pii, "features", lambda s: [s["value"].cast("double")] * len(pii.FEATURES))
+    trees = type("Trees", (), {"column": staticmethod(lambda x: x[0])})
+    got = pii.find(made.select("row.*"), model=pii.Model(trees, (0.0,) * len(pii.ALL))).collect()
     assert [sorted((s.kind, s.start, s.end) for s in r.spans) for r in sorted(got, key=lambda r: r.doc_id)] == truth
