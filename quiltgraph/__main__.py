@@ -32,7 +32,7 @@ def main(argv: list[str] | None = None) -> int:
         index_store.save(graph, args.index_dir, four_cycles=args.structure == "4")
         print(json.dumps(index_store.manifest(spark, args.index_dir)))
         return 0
-    graph = index_store.load(spark, args.index_dir).graph if args.index_dir else graph.stored("cli")
+    graph = index_store.load(spark, args.index_dir).graph if args.index_dir else graph.stored("cli")  # with the motifs that were stored
     options = estimator.Options(ub_initial=args.ub_initial, structure=candidates.Structure(args.structure), seed=args.seed)
     total = 0.0
     for path in [*args.query, *(graph_text.query_list(args.query_list) if args.query_list else [])]:

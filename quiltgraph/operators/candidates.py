@@ -14,11 +14,11 @@ from dataclasses import dataclass
 from enum import Enum
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.pattern import Pattern
-from ..storage import written
+from ..storage import delete, written
 from . import matching, motifs
 from .graph import Graph
 
@@ -74,7 +74,7 @@ def edge_candidates(graph: Graph, pattern: Pattern, vertices: DataFrame) -> Data
     """``(qs, qd, src, dst)``: data edges with the label of a pattern edge whose ends are candidates."""
     rows = [(a, b, e, pattern.labels[a], pattern.labels[b]) for (a, b), e in sorted(pattern.edge_label.items())]
     wanted = small(graph.edges.sparkSession, rows, "qs int, qd int, elabel int, s_raw int, d_raw int")
-    codes = F.broadcast(graph.vertices.select("raw_label", "label").distinct())  # a row for each label
+    codes = F.broadcast(graph.vertices.where(F.col("raw_label").isin(*set(pattern.labels))).select("raw_label", "label").distinct())  # a row for each label of the pattern
     wanted = wanted.join(codes.select(F.col("raw_label").alias("s_raw"), F.col("label").alias("src_label")), "s_raw").join(codes.select(F.col("raw_label").alias("d_raw"), F.col("label").alias("dst_label")), "d_raw")
     found = graph.edges.join(F.broadcast(wanted.select("qs", "qd", "elabel", "src_label", "dst_label")), ["elabel", "src_label", "dst_label"]).select("qs", "qd", "src", "dst")
     return alive(found, vertices)
@@ -109,46 +109,54 @@ def neighbor_filter(pattern: Pattern, vertices: DataFrame, edges: DataFrame) ->
     return full.select(F.col("qs").alias("qv"), F.col("src").alias("v"))
 
 
-def triangle_filter(pattern: Pattern, edges: DataFrame, support: DataFrame | None = None) -> DataFrame:
+def triangle_filter(pattern: Pattern, edges: DataFrame, triangles: DataFrame, support: bool = True) -> DataFrame:
     """Candidate edges with, for every pattern triangle through their edge, a triangle of candidate edges.
 
-    Given ``(src, dst, n)``, an edge also needs as many data triangles as its pattern edge has.
+    ``triangles(src, dst, w)`` are those of the data, found by degree order, so no hub's edges are joined
+    with each other here. With ``support`` an edge also needs as many of them as its pattern edge has.
     """
     if not pattern.triangles:
         return edges
     spark = edges.sparkSession
     turns = small(spark, list(pattern.triangles), "qs int, qd int, qw int")
     many = small(spark, [(a, b, sum(t[:2] == (a, b) for t in pattern.triangles)) for a, b in pattern.edge_label], "qs int, qd int, needed int")
-    first = edges.join(turns, ["qs", "qd"])
     to_w = edges.select(F.col("qs"), F.col("qd").alias("qw"), "src", F.col("dst").alias("w"))
     from_w = edges.select(F.col("qs").alias("qd"), F.col("qd").alias("qw"), F.col("src").alias("dst"), F.col("dst").alias("w"))
-    closed = first.join(to_w, ["qs", "qw", "src"]).join(from_w, ["qd", "qw", "dst", "w"], "left_semi")
+    closed = edges.join(turns, ["qs", "qd"]).join(triangles, ["src", "dst"]).join(to_w, ["qs", "qw", "src", "w"], "left_semi").join(from_w, ["qd", "qw", "dst", "w"], "left_semi")
     found = closed.groupBy("qs", "qd", "src", "dst").agg(F.count_distinct("qw").alias("n"))
     kept = edges.join(many, ["qs", "qd"]).join(found, ["qs", "qd", "src", "dst"], "left").where("coalesce(n, 0) = needed")
-    if support is not None:
-        kept = kept.drop("n").join(support, ["src", "dst"], "left").where("coalesce(n, 0) >= needed")
+    if support:
+        kept = kept.drop("n").join(motifs.support_of(triangles), ["src", "dst"], "left").where("coalesce(n, 0) >= needed")
     return kept.select("qs", "qd", "src", "dst")
 
 
-def four_cycle_filter(pattern: Pattern, edges: DataFrame) -> DataFrame:
+def four_cycle_filter(pattern: Pattern, edges: DataFrame, cycles: DataFrame | None = None) -> DataFrame:
     """Candidate edges with, for every pattern four-cycle through their edge, a cycle of candidate edges.
 
-    A diagonal of the pattern's cycle must be a candidate edge too. The cycles are joined from candidate
-    edges, so no global four-cycle index is needed.
+    A diagonal of the pattern's cycle must be a candidate edge too. Given the data's four-cycles
+    ``cycles(src, dst, x, y, ...)``, of an index, they are looked up by edge; without, the cycles are joined
+    from candidate edges, which takes a hub's candidate edges times those of its neighbours.
     """
     if not pattern.four_cycles:
         return edges
-    spark = edges.sparkSession
-    cycles = list(pattern.four_cycles)
-    rings = small(spark, [(i, *c) for i, c in enumerate(cycles)], "ring int, qs int, qd int, qx int, qy int, sx boolean, dy boolean")
-    many = small(spark, [(a, b, sum(c[:2] == (a, b) for c in cycles)) for a, b in pattern.edge_label], "qs int, qd int, needed int")
+    spark, of_pattern = edges.sparkSession, list(pattern.four_cycles)
+    rings = small(spark, [(i, *c) for i, c in enumerate(of_pattern)], "ring int, qs int, qd int, qx int, qy int, sx boolean, dy boolean")
+    many = small(spark, [(a, b, sum(c[:2] == (a, b) for c in of_pattern)) for a, b in pattern.edge_label], "qs int, qd int, needed int")
     step = lambda qa, qb, a, b: edges.select(F.col("qs").alias(qa), F.col("qd").alias(qb), F.col("src").alias(a), F.col("dst").alias(b))
-    found = edges.join(rings, ["qs", "qd"]).join(step("qd", "qx", "dst", "x"), ["qd", "qx", "dst"]).where("x <> src")
-    if any(c[4] for c in cycles):
+    found = edges.join(rings, ["qs", "qd"])
+    if cycles is not None:
+        found = found.join(cycles.select("src", "dst", "x", "y"), ["src", "dst"]).join(step("qd", "qx", "dst", "x"), ["qd", "qx", "dst", "x"], "left_semi")
+    else:
+        found = found.join(step("qd", "qx", "dst", "x"), ["qd", "qx", "dst"]).where("x <> src")
+    if any(c[4] for c in of_pattern):
         plain = found.where("not sx")
         found = found.where("sx").join(step("qs", "qx", "src", "x"), ["qs", "qx", "src", "x"], "left_semi").unionByName(plain)
-    found = found.join(step("qs", "qy", "src", "y"), ["qs", "qy", "src"]).where("y <> dst").join(step("qx", "qy", "x", "y"), ["qx", "qy", "x", "y"], "left_semi")
-    if any(c[5] for c in cycles):
+    if cycles is not None:
+        found = found.join(step("qs", "qy", "src", "y"), ["qs", "qy", "src", "y"], "left_semi")
+    else:
+        found = found.join(step("qs", "qy", "src", "y"), ["qs", "qy", "src"]).where("y <> dst")
+    found = found.join(step("qx", "qy", "x", "y"), ["qx", "qy", "x", "y"], "left_semi")
+    if any(c[5] for c in of_pattern):
         plain = found.where("not dy")
         found = found.where("dy").join(step("qd", "qy", "dst", "y"), ["qd", "qy", "dst", "y"], "left_semi").unionByName(plain)
     counted = found.groupBy("qs", "qd", "src", "dst").agg(F.count_distinct("ring").alias("n"))
@@ -165,9 +173,16 @@ def matching_filter(pattern: Pattern, vertices: DataFrame, edges: DataFrame, dro
     """By bipartite matching between the pattern neighbours of a vertex and a candidate's neighbours.
 
     Returns candidates for which a matching covers the pattern neighbours; with ``drop_edges`` the
-    candidate edges at them that are in some such matching. A group is one candidate's edges.
+    candidate edges at them that are in some such matching. A group is one candidate's edges to at most as
+    many partners of each kind as a pattern vertex has neighbours, so a hub's group is as small as another's.
     """
-    neighbors = pattern.neighbors
+    neighbors, most = pattern.neighbors, max(len(n) for n in pattern.neighbors)
+    if pattern.size > 1:
+        # of the partners that stand for the same pattern vertices, as many as there are pattern neighbours decide as all do
+        each = edges.groupBy("qs", "src", "dst").agg(F.sort_array(F.collect_set("qd")).alias("for"))
+        place = F.row_number().over(Window.partitionBy("qs", "src", "for").orderBy("dst"))
+        kinds = each.withColumn("place", place)
+        edges = kinds.where(F.col("place") <= most).select("qs", "src", "dst", F.explode("for").alias("qd"))
 
     def judge(rows: pd.DataFrame) -> pd.DataFrame:
         left = {q: sorted(set(x)) for q, x in rows.groupby("qd")["dst"]}
@@ -176,12 +191,18 @@ def matching_filter(pattern: Pattern, vertices: DataFrame, edges: DataFrame, dro
         kept = rows[[(q, d) in pairs for q, d in zip(rows["qd"], rows["dst"])]]
         return kept[["qs", "qd", "src", "dst"]]
 
+    if pattern.size == 1:
+        return edges if drop_edges else vertices
     kept = edges.groupBy("qs", "src").applyInPandas(judge, "qs int, qd int, src bigint, dst bigint")
-    return kept if drop_edges else vertices if pattern.size == 1 else kept.select(F.col("qs").alias("qv"), F.col("src").alias("v")).distinct()
+    if not drop_edges:
+        return kept.select(F.col("qs").alias("qv"), F.col("src").alias("v")).distinct()
+    # partners beyond those judged are used as their equals are
+    used = kept.join(kinds.select("qs", "src", "dst", "for"), ["qs", "src", "dst"]).groupBy("qs", "src", "for").agg(F.collect_set("qd").alias("usable"))
+    return kinds.join(used, ["qs", "src", "for"]).select("qs", F.explode("usable").alias("qd"), "src", "dst")
 
 
-def refine(pattern: Pattern, vertices: DataFrame, edges: DataFrame, structure: Structure = Structure.FOUR_CYCLES, neighborhood: Neighborhood = Neighborhood.LABELS, support: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """One round of all filters."""
+def refine(pattern: Pattern, vertices: DataFrame, edges: DataFrame, structure: Structure = Structure.FOUR_CYCLES, neighborhood: Neighborhood = Neighborhood.LABELS, triangles: DataFrame | None = None, support: bool = True, cycles: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """One round of all filters. ``triangles`` of the data are needed where the pattern has any."""
     if neighborhood is Neighborhood.LABELS:
         vertices = neighbor_filter(pattern, vertices, edges)
     elif neighborhood is Neighborhood.VERTEX_MATCHING:
@@ -190,9 +211,9 @@ def refine(pattern: Pattern, vertices: DataFrame, edges: DataFrame, structure: S
         edges = both_ways(matching_filter(pattern, vertices, edges, drop_edges=True))
     edges = alive(edges, vertices)
     if structure is not Structure.NONE:
-        edges = triangle_filter(pattern, edges, support)
+        edges = triangle_filter(pattern, edges, triangles, support)
     if structure is Structure.FOUR_CYCLES:
-        edges = four_cycle_filter(pattern, edges)
+        edges = four_cycle_filter(pattern, edges, cycles)
     edges = both_ways(edges)
     vertices = support_filter(pattern, vertices, edges)
     return vertices, alive(edges, vertices)
@@ -206,20 +227,24 @@ def initial(graph: Graph, pattern: Pattern, cores: DataFrame | None = None) -> t
     return vertices, alive(edges, vertices)
 
 
-def build(graph: Graph, pattern: Pattern, structure: Structure = Structure.FOUR_CYCLES, neighborhood: Neighborhood = Neighborhood.LABELS, cores: DataFrame | None = None, support: DataFrame | None = None, max_rounds: int | None = None) -> CandidateSpace:
+def build(graph: Graph, pattern: Pattern, structure: Structure = Structure.FOUR_CYCLES, neighborhood: Neighborhood = Neighborhood.LABELS, cores: DataFrame | None = None, max_rounds: int | None = None) -> CandidateSpace:
     """The candidate space after ``max_rounds`` rounds, or at the fixpoint; each round is written to the shared folder.
 
-    An empty candidate space has no rows; it is not an error.
+    Triangles and four-cycles are those of the graph's index, if it was loaded from one. An empty candidate
+    space has no rows; it is not an error.
     """
-    if support is None and structure is not Structure.NONE and pattern.triangles:
-        support = written(motifs.edge_support(graph), "edge-support")
+    triangles = graph.triangles
+    if triangles is None and structure is not Structure.NONE and pattern.triangles:
+        triangles = written(motifs.triangle_index(graph), "triangles")
     vertices, edges = (written(x, "candidates") for x in initial(graph, pattern, cores))
     space, rounds = CandidateSpace(pattern, vertices, edges), 0
     sizes = space.sizes()
     while pattern.size > 1 and (max_rounds is None or rounds < max_rounds):
-        vertices, edges = refine(pattern, space.vertices, space.edges, structure, neighborhood, support)
+        vertices, edges = refine(pattern, space.vertices, space.edges, structure, neighborhood, triangles, cycles=graph.four_cycles)
         edges = written(edges, "candidates")
         vertices = written(vertices, "candidates")
+        for old in (space.vertices, space.edges):
+            delete(graph.vertices.sparkSession, old)
         space, rounds = CandidateSpace(pattern, vertices, edges), rounds + 1
         if (now := space.sizes()) == sizes:
             break

@@ -16,17 +16,22 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import written
+from ..storage import delete, written
 
 
 @dataclass
 class Graph:
+    """The tables; and, of a loaded index, its triangles and four-cycles (see :mod:`quiltgraph.operators.motifs`)."""
+
     vertices: DataFrame
     edges: DataFrame
+    triangles: DataFrame | None = None
+    four_cycles: DataFrame | None = None
 
     def stored(self, name: str) -> Graph:
-        """The graph written to the shared folder, for plans that read it often."""
-        return Graph(written(self.vertices, f"{name}-vertices"), written(self.edges, f"{name}-edges"))
+        """The graph written to the shared folder, edges together and sorted by source, for plans that read it often."""
+        edges = self.edges.repartition("src").sortWithinPartitions("src", "dst")
+        return Graph(written(self.vertices, f"{name}-vertices"), written(edges, f"{name}-edges"), self.triangles, self.four_cycles)
 
 
 def label_codes(vertices: DataFrame) -> DataFrame:
@@ -48,7 +53,7 @@ def build(vertices: DataFrame, undirected: DataFrame) -> Graph:
     """
     once = undirected.where("src <> dst").groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.min("elabel").cast("int").alias("elabel"))
     both = once.unionByName(once.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "elabel"))
-    coded = vertices.join(F.broadcast(label_codes(vertices)), "raw_label")  # as many rows as labels
+    coded = vertices.join(label_codes(vertices), "raw_label")  # as many rows as labels; broadcast if they are few
     known = coded.join(degrees(both), "vid", "left").select("vid", F.col("raw_label").cast("int"), "label", F.coalesce("deg", F.lit(0)).alias("deg"))
     ends = lambda side: known.select(F.col("vid").alias(side), F.col("label").alias(f"{side}_label"), F.col("deg").alias(f"{side}_deg"))
     edges = both.join(ends("src"), "src").join(ends("dst"), "dst").select("src", "dst", "elabel", "src_label", "dst_label", "src_deg", "dst_deg")
@@ -81,27 +86,31 @@ def core_numbers(graph: Graph) -> DataFrame:
         now = bounds.agg(F.sum("bound")).first()[0]  # bounds only fall, so an equal sum is a fixpoint
         if now == total:
             return bounds.withColumnRenamed("bound", "core")
-        total, bounds = now, written(h_index_round(graph.edges, bounds), "core-bounds")
+        total, before = now, bounds
+        bounds = written(h_index_round(graph.edges, bounds), "core-bounds")
+        delete(bounds.sparkSession, before)
 
 
 def degeneracy_order(cores: DataFrame) -> DataFrame:
-    """``(vid, core)`` by falling core number."""
-    return cores.orderBy(F.col("core").desc(), "vid")
+    """``(vid, core, position)`` by falling core number, then by id."""
+    return vertices_by_label(cores.select(F.lit(0).alias("label"), "vid", F.col("core").alias("deg"))).select("vid", F.col("deg").alias("core"), "position")
 
 
 def colored(graph: Graph, rounds: int = 50) -> DataFrame:
     """``(vid, color)``: a proper coloring.
 
     Vertices take turns: in a round each vertex that is the highest of its uncolored neighbourhood by
-    (degree, hash, id) takes the least color that no neighbour has.
+    (degree, hash, id) takes the least color that no neighbour has. More than ``rounds`` rounds are an error.
     """
     state, left = graph.vertices.select("vid", "deg", F.lit(None).cast("int").alias("color")), None
     above = lambda a, b: F.struct(F.col(f"{a}deg"), F.xxhash64(f"{a}vid"), F.col(f"{a}vid")) < F.struct(F.col(f"{b}deg"), F.xxhash64(f"{b}vid"), F.col(f"{b}vid"))
-    while True:
+    for _ in range(rounds + 1):
         state = written(state, "colors")
         now = state.where("color is null").count()
-        if now == 0 or now == left:
+        if now == 0:
             return state.select("vid", "color")
+        if now == left:
+            break
         left = now
         near = graph.edges.select(F.col("src").alias("vid"), F.col("dst").alias("o_vid")).join(state.select(F.col("vid").alias("o_vid"), F.col("deg").alias("o_deg"), F.col("color").alias("o_color")), "o_vid")
         seen = near.join(state.where("color is null").select("vid", "deg"), "vid").groupBy("vid", "deg").agg(F.max(F.when(F.col("o_color").isNull(), above("", "o_")).otherwise(F.lit(False))).alias("waits"), F.collect_set("o_color").alias("taken"))
@@ -109,6 +118,7 @@ def colored(graph: Graph, rounds: int = 50) -> DataFrame:
         turn = seen.where("not waits").select("vid", free.alias("fresh"))
         state = state.join(turn, "vid", "left").join(graph.edges.select(F.col("src").alias("vid")).distinct().withColumn("linked", F.lit(True)), "vid", "left")
         state = state.select("vid", "deg", F.coalesce("color", "fresh", F.when(F.col("linked").isNull(), F.lit(0))).alias("color"))
+    raise RuntimeError(f"{now} vertices have no color after {rounds} rounds")
 
 
 def label_stats(vertices: DataFrame, smoothing: float = 1e-4) -> DataFrame:
@@ -121,16 +131,24 @@ def label_entropy(vertices: DataFrame, smoothing: float = 1e-4) -> DataFrame:
     return label_stats(vertices, smoothing).agg(F.sum(-F.col("prob") * F.log2("prob")).alias("entropy"))
 
 
+#: Ranges of vertex ids that positions are counted in.
+RANGES = 1024
+
+
 def vertices_by_label(vertices: DataFrame) -> DataFrame:
     """``(label, vid, deg, position)``: posting lists, highest degree first.
 
-    Positions are counted in two steps, within (label, degree) and over the degrees of a label, so that
-    no task holds a whole label.
+    Positions are counted in two steps, within a range of ids of a (label, degree), and over what comes
+    before it, so that no task holds a whole label or degree.
     """
-    counts = vertices.groupBy("label", "deg").agg(F.count("*").alias("n"))
-    above = F.coalesce(F.sum("n").over(Window.partitionBy("label").orderBy(F.col("deg").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    within = F.row_number().over(Window.partitionBy("label", "deg").orderBy("vid"))
-    return vertices.withColumn("within", within).join(counts.withColumn("above", above).drop("n"), ["label", "deg"]).select("label", "vid", "deg", (F.col("above") + F.col("within")).alias("position"))
+    low, high = vertices.agg(F.min("vid"), F.max("vid")).first()
+    width = max(1, ((high or 0) - (low or 0)) // RANGES + 1)
+    ranged = vertices.withColumn("range", F.expr(f"(vid - ({low or 0})) div {width}"))
+    counts = ranged.groupBy("label", "deg", "range").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("label").orderBy(F.col("deg").desc(), "range").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows a degree
+    counts = counts.withColumn("above", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    within = F.row_number().over(Window.partitionBy("label", "deg", "range").orderBy("vid"))
+    return ranged.withColumn("within", within).join(counts, ["label", "deg", "range"]).select("label", "vid", "deg", (F.col("above") + F.col("within")).alias("position"))
 
 
 def degree_distribution(vertices: DataFrame) -> DataFrame:

@@ -27,14 +27,25 @@ def triangles(graph: Graph) -> DataFrame:
 
 
 def triangle_index(graph: Graph) -> DataFrame:
-    """``(src, dst, w)``: for every directed edge the third vertex of each triangle through it."""
+    """``(src, dst, w)``: for every directed edge the third vertex of each triangle through it; of a loaded index as stored."""
+    if graph.triangles is not None:
+        return graph.triangles
     turns = [("a", "b", "c"), ("b", "a", "c"), ("a", "c", "b"), ("c", "a", "b"), ("b", "c", "a"), ("c", "b", "a")]
     return triangles(graph).select(F.explode(F.array(*(F.struct(F.col(s).alias("src"), F.col(d).alias("dst"), F.col(w).alias("w")) for s, d, w in turns))).alias("t")).select("t.*")
 
 
 def edge_support(graph: Graph) -> DataFrame:
     """``(src, dst, n)``: how many triangles pass through each directed edge that has one."""
-    return triangle_index(graph).groupBy("src", "dst").agg(F.count("*").alias("n"))
+    return support_of(triangle_index(graph))
+
+
+def support_of(triangles: DataFrame) -> DataFrame:
+    return triangles.groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+def through(index: DataFrame, src: int, dst: int) -> DataFrame:
+    """The entries of an index of triangles or four-cycles that belong to one directed edge."""
+    return index.where((F.col("src") == src) & (F.col("dst") == dst)).drop("src", "dst")
 
 
 def wedges(graph: Graph) -> DataFrame:
@@ -59,8 +70,10 @@ def four_cycles(graph: Graph) -> DataFrame:
 def four_cycle_index(graph: Graph) -> DataFrame:
     """``(src, dst, x, y, diag_src, diag_dst)``: for every directed edge each cycle src-dst-x-y through it.
 
-    ``diag_src`` tells whether src-x is an edge too, ``diag_dst`` whether dst-y is.
+    ``diag_src`` tells whether src-x is an edge too, ``diag_dst`` whether dst-y is. Of a loaded index as stored.
     """
+    if graph.four_cycles is not None:
+        return graph.four_cycles
     edge = graph.edges.select("src", "dst").withColumn("is", F.lit(True))
     found = four_cycles(graph)
     found = found.join(edge.select(F.col("src").alias("x"), F.col("dst").alias("y"), F.col("is").alias("xy")), ["x", "y"], "left").join(edge.select(F.col("src").alias("m1"), F.col("dst").alias("m2"), F.col("is").alias("mm")), ["m1", "m2"], "left")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.draws import RANGE, draw
 from ..functions.stats import settled
 from ..plans.pattern import Pattern, UnionFind
+from ..storage import written
 from .candidates import CandidateSpace
 from .graph import Graph
 
@@ -78,26 +79,41 @@ def tree_total(space: CandidateSpace, tree: Tree) -> DataFrame:
     return subtree_counts(space, tree)[tree.root].agg(F.coalesce(F.sum("n"), F.lit(0.0)).alias("total"))
 
 
-def sampled(space: CandidateSpace, tree: Tree, first: int, last: int, seed: int = 0) -> DataFrame:
-    """``(trial, v0, v1, ...)`` for trials ``first`` to ``last - 1``: a candidate tree each, drawn in proportion.
+@dataclass
+class Sums:
+    """What trees are drawn from: the root's candidates and their buckets, and each tree edge's children, with running sums."""
 
-    Inverse distribution functions are running sums: of the root's candidates within buckets, and of
-    each parent's children, so that no task orders all candidates.
-    """
-    spark, counts = space.vertices.sparkSession, subtree_counts(space, tree)
-    pick = lambda q: F.floor(draw(seed, F.col("trial"), q) / F.lit(float(RANGE)) * F.col("total"))
-    root = f"v{tree.root}"
+    roots: DataFrame
+    buckets: DataFrame
+    steps: dict[tuple[int, int], DataFrame]
+
+
+def sums(space: CandidateSpace, tree: Tree, store: bool = False) -> Sums:
+    """Inverse distribution functions as running sums: of the root's candidates within buckets, and of each
+    parent's children, so that no task orders all candidates. ``store`` writes them, to be read for many draws."""
+    keep = written if store else lambda df, name: df
+    counts = {u: keep(df, "tree-counts") for u, df in subtree_counts(space, tree).items()}
     inside = Window.partitionBy("bucket").orderBy("v")
-    roots = counts[tree.root].withColumn("bucket", F.pmod("v", F.lit(BUCKETS)).cast("int")).withColumn("high", F.sum("n").over(inside))
-    sums = roots.groupBy("bucket").agg(F.sum("n").alias("sum"))
+    roots = keep(counts[tree.root].withColumn("bucket", F.pmod("v", F.lit(BUCKETS)).cast("int")).withColumn("high", F.sum("n").over(inside)), "tree-roots")
+    buckets = roots.groupBy("bucket").agg(F.sum("n").alias("sum"))
     before = F.coalesce(F.sum("sum").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))  # a row for each bucket
-    sums = sums.withColumn("start", before).withColumn("total", F.sum("sum").over(Window.partitionBy()))
-    trials = spark.range(first, last).withColumnRenamed("id", "trial").crossJoin(F.broadcast(sums)).withColumn("r", pick(tree.root)).where("start <= r and r < start + sum")
-    trials = trials.join(roots.select("bucket", F.col("v").alias(root), (F.col("high") - F.col("n")).alias("low"), "high"), "bucket").where("low <= r - start and r - start < high").select("trial", root)
+    buckets = keep(buckets.withColumn("start", before).withColumn("total", F.sum("sum").over(Window.partitionBy())), "tree-buckets")
+    steps = {}
     for a, b in tree.edges:
         step = space.edges.where((F.col("qs") == a) & (F.col("qd") == b)).join(counts[b].withColumnRenamed("v", "dst"), "dst")
         step = step.withColumn("high", F.sum("n").over(Window.partitionBy("src").orderBy("dst"))).withColumn("total", F.sum("n").over(Window.partitionBy("src")))
-        step = step.select(F.col("src").alias(f"v{a}"), F.col("dst").alias(f"v{b}"), (F.col("high") - F.col("n")).alias("low"), "high", "total")
+        steps[a, b] = keep(step.select(F.col("src").alias(f"v{a}"), F.col("dst").alias(f"v{b}"), (F.col("high") - F.col("n")).alias("low"), "high", "total"), "tree-steps")
+    return Sums(roots, buckets, steps)
+
+
+def sampled(space: CandidateSpace, tree: Tree, first: int, last: int, seed: int = 0, of: Sums | None = None) -> DataFrame:
+    """``(trial, v0, v1, ...)`` for trials ``first`` to ``last - 1``: a candidate tree each, drawn in proportion."""
+    spark, of = space.vertices.sparkSession, of or sums(space, tree)
+    pick = lambda q: F.floor(draw(seed, F.col("trial"), q) / F.lit(float(RANGE)) * F.col("total"))
+    root = f"v{tree.root}"
+    trials = spark.range(first, last).withColumnRenamed("id", "trial").crossJoin(F.broadcast(of.buckets)).withColumn("r", pick(tree.root)).where("start <= r and r < start + sum")  # BUCKETS rows
+    trials = trials.join(of.roots.select("bucket", F.col("v").alias(root), (F.col("high") - F.col("n")).alias("low"), "high"), "bucket").where("low <= r - start and r - start < high").select("trial", root)
+    for (a, b), step in of.steps.items():
         trials = trials.join(step, f"v{a}").where((F.col("low") <= pick(b)) & (pick(b) < F.col("high"))).drop("low", "high", "total")
     return trials
 
@@ -133,10 +149,11 @@ def estimate(graph: Graph, space: CandidateSpace, tree: Tree, seed: int = 0, chu
     total = tree_total(space, tree).first()[0]
     if not total:
         return TreeEstimate(0.0, 0.0, 0, 0, False)
+    of = sums(space, tree, store=True)
     drawn = trials = successes = 0
     while True:
         size = max(FIRST, min(chunk, LAST - drawn if drawn < LAST else chunk))
-        found = hits(graph, space, tree, sampled(space, tree, drawn, drawn + size, seed))
+        found = hits(graph, space, tree, sampled(space, tree, drawn, drawn + size, seed, of))
         by_step = {r.step: r.n for r in found.groupBy(F.floor(F.col("trial") / STEP).alias("step")).agg(F.count("*").alias("n")).collect()}
         for step in range(drawn // STEP, (drawn + size) // STEP):
             trials, successes = (step + 1) * STEP, successes + by_step.get(step, 0)

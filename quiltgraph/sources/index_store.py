@@ -81,9 +81,10 @@ def status(spark: SparkSession, folder: str, graph: Graph | None = None) -> Stat
 
 
 def load(spark: SparkSession, folder: str) -> Index:
-    """The index; four-cycles may be absent, and filters then use triangles only."""
+    """The index, whose graph has its triangles and, if they were stored, its four-cycles: the filters look them up."""
     if (found := status(spark, folder)) is not Status.READY:
         raise FileNotFoundError(f"index at {folder} is {found.value}")
     meta = manifest(spark, folder)
     read = lambda name: spark.read.parquet(f"{folder}/{name}")
-    return Index(Graph(read("vertices"), read("edges")), read("triangles"), read("four_cycles") if "four_cycles" in meta["tables"] else None, meta["summary"])
+    triangles, four_cycles = read("triangles"), read("four_cycles") if "four_cycles" in meta["tables"] else None
+    return Index(Graph(read("vertices"), read("edges"), triangles, four_cycles), triangles, four_cycles, meta["summary"])

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import Graph, build
+from ..storage import stamps
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,3 +45,15 @@ def baskets(spark: SparkSession, sf_dir: str) -> Graph:
     customers = table(spark, sf_dir, "customer").select(_vertex("c_custkey", 2, 4).alias("src"), _vertex("c_nationkey", 3, 4).alias("dst"))
     edges = items.unionByName(orders).unionByName(customers).distinct().withColumn("elabel", F.lit(0))
     return build(_labelled(edges, 4), edges)
+
+
+_built: dict[tuple, Graph] = {}
+
+
+def once(make: Callable[..., Graph], spark: SparkSession, sf_dir: str, **options) -> Graph:
+    """The graph, built and written to the shared folder at its first use in an application, and again when its tables' files have changed."""
+    files = tuple(stamps(spark, [f for t in ("lineitem", "orders", "customer") for f in table(spark, sf_dir, t).inputFiles()]))
+    key = (spark.sparkContext.applicationId, make.__name__, sf_dir, tuple(sorted(options.items())), files)
+    if key not in _built:
+        _built[key] = make(spark, sf_dir, **options).stored(make.__name__)
+    return _built[key]

@@ -15,7 +15,7 @@ def shared_dir(spark: SparkSession) -> str:
     global _local
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _local is None:
         _local = "file://" + tempfile.mkdtemp(prefix="quiltgraph-")
@@ -27,3 +27,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stamps(spark: SparkSession, paths: list[str]) -> list[tuple[str, int, int]]:
+    """Path, size and time of change of files, as Hadoop's file systems tell them."""
+    found = []
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        status = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at)
+        found.append((path, status.getLen(), status.getModificationTime()))
+    return found
+
+
+def delete(spark: SparkSession, df: DataFrame) -> None:
+    """Removes a table made by :func:`written`."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -25,28 +25,38 @@ def waits(event: Column, batchable: tuple[str, ...] = BATCHABLE) -> Column:
     return event.isin(*batchable)
 
 
-def batch_list(events: list[tuple[float, str, dict]], window_ms: float = WINDOW_MS) -> Iterator[dict]:
-    """The messages for one session's events ``(ms, name, data)`` in order, up to a terminal one."""
-    held: list[dict] = []
-    opened = 0.0
+class Batcher:
+    """Messages from events as they come; an open batch is due ``window_ms`` after its first event."""
 
-    def flush() -> Iterator[dict]:
-        if held:
-            yield held[0] if len(held) == 1 else {"event": "batch_update", "data": {"events": list(held), "count": len(held)}}
-            held.clear()
+    def __init__(self, window_ms: float = WINDOW_MS):
+        self.window_ms, self.held, self.opened = window_ms, [], 0.0
 
-    for at, name, data in events:
-        if held and at >= opened + window_ms:
-            yield from flush()
+    def flush(self) -> list[dict]:
+        held, self.held = self.held, []
+        return held if len(held) < 2 else [{"event": "batch_update", "data": {"events": held, "count": len(held)}}]
+
+    def due(self, now: float) -> list[dict]:
+        """What has waited long enough."""
+        return self.flush() if self.held and now >= self.opened + self.window_ms else []
+
+    def push(self, at: float, name: str, data: dict) -> list[dict]:
+        """The messages that an event at a time sets free."""
+        out = self.due(at)
         if name in BATCHABLE:
-            opened = opened if held else at
-            held.append({"event": name, "data": data})
-            continue
-        yield from flush()
-        yield {"event": name, "data": data}
+            self.opened = self.opened if self.held else at
+            self.held.append({"event": name, "data": data})
+            return out
+        return [*out, *self.flush(), {"event": name, "data": data}]
+
+
+def batch_list(events: list[tuple[float, str, dict]], window_ms: float = WINDOW_MS) -> Iterator[dict]:
+    """The messages for one session's events ``(ms, name, data)`` in order, up to a terminal one."""
+    batcher = Batcher(window_ms)
+    for at, name, data in events:
+        yield from batcher.push(at, name, data)
         if name in TERMINAL:
             return
-    yield from flush()
+    yield from batcher.flush()
 
 
 def batches(events: DataFrame, key: str, ts_ms: str, name: str, order: str, window_ms: int, batchable: tuple[str, ...] = BATCHABLE) -> DataFrame:

@@ -1,9 +1,11 @@
 import json
+import threading
 
 import pytest
 
 from quiltgraph.operators import graph
 from quiltgraph.service import Service, ServiceError, SessionStatus
+from quiltgraph.sources import index_store
 from quiltgraph.streaming import events
 
 TRIANGLE = {"vertices": [{"id": 0, "label": 0}, {"id": 1, "label": 0}, {"id": 2, "label": 1}], "edges": [{"source": 0, "target": 1}, {"source": 1, "target": 2}, {"source": 0, "target": 2}]}
@@ -25,7 +27,40 @@ def test_errors(service):
         assert e.value.status == status and e.value.as_dict()["error"]["code"] == e.value.code
     with pytest.raises(ServiceError):
         service.snapshot("nope")
-    assert service.health() == {"status": "ok", "datasets": 1} and service.datasets() == ["tiny"]
+    assert service.health() == {"status": "ok", "datasets": 1}
+    assert service.datasets() == [{"id": "tiny", "num_vertices": 4, "num_edges": 4, "labels": [0, 1], "index_status": "ready"}]
+
+
+def test_index_that_is_not_ready(spark, service, tmp_path):
+    s = Service(spark)
+    s.register("later", index=f"{tmp_path}/index")
+    with pytest.raises(ServiceError) as e:
+        s.create_session("later", TRIANGLE)
+    assert (e.value.status, e.value.code) == (409, "INDEX_NOT_READY") and s.datasets()[0]["index_status"] == "missing"
+    index_store.save(service.dataset("tiny"), f"{tmp_path}/index")
+    graph = s.dataset("later")
+    assert s.datasets()[0]["num_edges"] == 4 and graph.triangles.count() == 6 and graph.four_cycles.count() == 0
+    assert s.execute(s.create_session("later", TRIANGLE).id).first()[0] == 2
+
+
+def test_live_stream(service):
+    """Messages come before the session ends, and the same ones when read again."""
+    go, got = threading.Event(), []
+
+    def slow(p):
+        if p.size == 3:
+            assert go.wait(60)
+        return float(p.size)
+
+    s = service.create_session("tiny", TRIANGLE, estimate=slow, wait=False)
+    for message in service.stream(s.id):
+        got.append(message)
+        if message["event"] in ("batch_update", "prefix_progress") and not go.is_set():
+            assert s.status is SessionStatus.RUNNING
+            go.set()
+    assert go.is_set() and got[-1]["event"] == "session_completed" and got[0]["event"] == "index_loading"
+    assert sum(len(m["data"]["events"]) if m["event"] == "batch_update" else 1 for m in got) == len(s.log)
+    assert list(service.stream(s.id)) == got
 
 
 def test_session(service):
