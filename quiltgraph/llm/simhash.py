@@ -14,16 +14,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 #: Bits that linked fingerprints may differ by. Two halves and one wildcard cover three.
 MAX_BITS = 3
-#: Distinct fingerprints compared in one task; larger buckets are dealt out as pairs of blocks.
-BLOCK = 4096
-#: Rows of hot halves up to which they are broadcast (24 bytes each); beyond, they are joined.
+#: Distinct fingerprints of a half from which its buckets are split by the variants of the other half's quarters.
+FULL = 2048
+#: Rows of full halves up to which they are broadcast (24 bytes each); beyond, they are joined.
 BROADCAST_ROWS = 100_000
 
 
@@ -69,71 +69,77 @@ def forest(values: np.ndarray, bits: int = MAX_BITS) -> list[tuple[int, int]]:
 
 
 def variants(distinct: DataFrame) -> DataFrame:
-    """``(key, block_a, block_b, fp)``: each fingerprint under its 64 one-wildcard half variants.
+    """``(key, part, fp)``: each fingerprint under its 64 one-wildcard half variants.
 
-    A bucket beyond ``BLOCK`` fingerprints is dealt out as pairs of blocks, so that every pair of its
-    fingerprints meets in one task. A bucket is bounded by the counts of the two halves it joins.
+    A bucket beyond ``FULL`` fingerprints a half is split by the same rule once more: its fingerprints
+    differ by at most three bits in the other half, so by at most one in one of its quarters, and meet
+    under one of the 32 one-wildcard variants of the quarters. Rows grow in proportion, and ``key`` and
+    ``part`` leave 2^18 fingerprints to a bucket at most.
     """
     halves = distinct.select("fp", F.posexplode(F.array(F.col("fp").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("fp", 32))).alias("seg", "half"))
-    full = halves.groupBy("seg", "half").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK // 2)
-    full = common.written(full, "hot-halves")
+    full = common.written(halves.groupBy("seg", "half").count().where(F.col("count") > FULL).select("seg", "half", F.lit(True).alias("full")), "full-halves")
     # a half variant: segment, wildcard, the other bits
     each = halves.select("fp", "seg", "half", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("bit"))
     mask = F.expr("shiftleft(1L, bit)")
-    key = F.expr("shiftleft(cast(seg * 32 + bit as bigint), 32)").bitwiseOR(F.col("half").bitwiseAND(F.bitwise_not(mask)))
+    key = F.expr("shiftleft(cast(seg * 32 + bit as bigint), 32)").bitwiseOR(F.col("half").bitwiseAND(F.bitwise_not(mask))).alias("key")
     n_full = full.count()
     if not n_full:
-        return each.select(key.alias("key"), F.lit(0).alias("block_a"), F.lit(0).alias("block_b"), "fp")
+        return each.select(key, F.lit(0).alias("part"), "fp")
     side = F.broadcast if n_full <= BROADCAST_ROWS else lambda x: x
+    # a bucket holds a half and its twin, and is split if either is full
     each = each.withColumn("twin", F.col("half").bitwiseXOR(mask)).join(side(full), ["seg", "half"], "left")
-    each = each.join(side(full.select("seg", F.col("half").alias("twin"), F.col("n").alias("twin_n"))), ["seg", "twin"], "left")
-    # a count that is not in the table is BLOCK / 2 at most
-    blocks = F.when(F.col("n").isNull() & F.col("twin_n").isNull(), 1).otherwise(F.ceil((F.coalesce("n", F.lit(BLOCK // 2)) + F.coalesce("twin_n", F.lit(BLOCK // 2))) / F.lit(BLOCK // 2)).cast("int"))
-    each = each.select(key.alias("key"), "fp", blocks.alias("blocks")).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    return each.select("key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("key", F.least("own", "other").alias("block_a"), F.greatest("own", "other").alias("block_b"), "fp")
+    each = each.join(side(full.select("seg", F.col("half").alias("twin"), F.col("full").alias("twin_full"))), ["seg", "twin"], "left")
+    each = each.select(key, "fp", F.coalesce("full", "twin_full", F.lit(False)).alias("split"), F.expr("shiftrightunsigned(fp, 32 * (1 - seg)) & 4294967295L").alias("other"))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(31)), _quarter)
+    return each.select("key", F.explode(F.when(F.col("split"), parts).otherwise(F.array(F.lit(0)))).alias("part"), "fp")
+
+
+def _quarter(i):
+    """Variant ``i`` of the column ``other``: its wildcard is bit ``i % 16`` of quarter ``i / 16``; numbered from 1 on, 0 is no variant."""
+    quarter = F.call_function("shiftrightunsigned", F.col("other"), F.when(i < 16, 0).otherwise(16)).bitwiseAND(0xFFFF)
+    masked = quarter.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("bigint"), i % 16)))
+    return (i.cast("bigint") * 65536 + masked + 1).cast("int")
 
 
 def links(distinct: DataFrame) -> DataFrame:
     """``(a, b)``: edges that connect exactly those ``fp`` of ``distinct`` that linked pairs connect."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, values in buckets(batches):
+        for values in buckets(batches):
             if edges := forest(values):
                 yield pa.RecordBatch.from_arrays([pa.array(np.array([e[i] for e in edges], np.uint64).view(np.int64)) for i in (0, 1)], names=["a", "b"])
 
-    dealt = variants(distinct).repartition("key", "block_a", "block_b").sortWithinPartitions("key", "block_a", "block_b", "fp")
+    dealt = variants(distinct).repartition("key", "part").sortWithinPartitions("key", "part", "fp")
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
-def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray]]:
-    """The sorted rows' buckets of two or more fingerprints: what they share, and the fingerprints."""
-    names, rest = ("key", "block_a", "block_b"), None
+def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The fingerprints of the sorted rows' buckets of two or more."""
+    rest = None
     for batch in batches:
-        columns = [batch.column(n).to_numpy(zero_copy_only=False) for n in (*names, "fp")]
+        columns = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("key", "part", "fp")]
         if rest is not None:
             columns = [np.concatenate(x) for x in zip(rest, columns)]
-        n = len(columns[0])
-        new = np.zeros(n, bool)
-        for x in columns[:3]:
-            new[1:] |= x[1:] != x[:-1]
-        starts = np.concatenate([[0], np.flatnonzero(new)])
+        key, part, _ = columns
+        starts = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1])
         yield from full_buckets(columns, starts[:-1], starts[1:])
         rest = [x[starts[-1] :] for x in columns]  # the last may go on
     if rest is not None:
         yield from full_buckets(rest, np.array([0]), np.array([len(rest[0])]))
 
 
-def full_buckets(columns: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[tuple, np.ndarray]]:
-    """Buckets with two or more rows. Past wildcard 0 of a half, only those whose rows differ in the wildcard's bit."""
+def full_buckets(columns: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
+    """Buckets with two or more rows. Past wildcard 0 of a half, or of a quarter, only those whose rows differ in the wildcard's bit."""
     many = np.flatnonzero(ends - starts > 1)
     for i in many:
         a, b = starts[i], ends[i]
-        values, code = columns[3][a:b].view(np.uint64), int(columns[0][a]) >> 32
-        if code % 32:
-            bit = (values >> np.uint64(code)) & np.uint64(1)  # half 0 has bits 0-31 and codes 0-31, half 1 the next
-            if bit.all() or not bit.any():
-                continue
-        yield (columns[0][a], columns[1][a], columns[2][a]), values
+        values, code = columns[2][a:b].view(np.uint64), int(columns[0][a]) >> 32
+        quarter = (int(columns[1][a]) - 1) >> 16 if columns[1][a] else 0
+        # half 0 has bits 0-31 and codes 0-31, half 1 the next; the quarters are those of the other half
+        wild = [code] * (code % 32 > 0) + [32 * (code < 32) + quarter] * (quarter % 16 > 0)
+        bits = [(values >> np.uint64(at)) & np.uint64(1) for at in wild]
+        if all(x.any() and not x.all() for x in bits):
+            yield values
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -145,25 +151,43 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     has one. Repeated rows come out as often as they went in; an empty table gives an empty one; other
     columns are not read.
     """
-    prints = common.written(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))), "fingerprints")
-    distinct = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    with common.scratch(docs.sparkSession):
+        prints = common.written(fingerprints(rows), "fingerprints", keep=True)
+        known = _known(prints, {"component_id": F.min("doc_id")})
+    return prints.join(known, "fp").select("doc_id", "fp", "component_id")
+
+
+def _known(prints: DataFrame, lowest: dict[str, Column]) -> DataFrame:
+    """``fp`` and, by name, the minima ``lowest`` over all rows of its component, of every fingerprint."""
+    distinct = common.written(prints.groupBy("fp").agg(*(c.alias(n) for n, c in lowest.items())), "distinct-fingerprints")
     roots = common.components(links(distinct.select("fp")), "simhash-components")
     labelled = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    known = common.written(labelled.join(lowest, "root").select("fp", "component_id"), "simhash-classes")
-    return prints.join(known, "fp").select("doc_id", "fp", "component_id")
+    least = labelled.groupBy("root").agg(*(F.min(n).alias(n) for n in lowest))
+    return common.written(labelled.select("fp", "root").join(least, "root").drop("root"), "simhash-classes", keep=True)
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: that with the smallest id.
+    """``docs`` with one row of each component: that with the smallest id (null last), then the smallest hash of id and text.
 
-    Rows without an id cannot be named in a class and all stay. Where several rows share an id, the
-    smallest text of them stays.
+    Of rows equal in id and text one is left, with the least values of its other columns. Only the
+    rows that go are joined with the documents, which are shuffled once at any size.
     """
-    classes = near_duplicates(docs.select("doc_id", "text"))
-    keep = common.written(classes.where("component_id is not null").groupBy(F.col("component_id").alias("doc_id")).agg(F.sum((F.col("doc_id") == F.col("component_id")).cast("long")).alias("__n")), "simhash-kept")
-    kept = docs.join(keep.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    if not keep.where("__n > 1").isEmpty():
-        first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
-        kept = kept.withColumn("__first", F.row_number().over(first)).where("__first = 1").drop("__first")
-    return kept.unionByName(docs.where("doc_id is null"))
+    spark, (key,) = docs.sparkSession, common.unused(docs.columns, "key")
+    mark = F.xxhash64("doc_id", "text")
+    with common.scratch(spark):
+        prints = common.written(fingerprints(docs.select("doc_id", "text", mark.alias("key")), keep=("doc_id", "key")), "fingerprints")
+        known = _known(prints, {"first": F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key"))})
+        judged = prints.join(known, "fp").select("doc_id", "key", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))).alias("first"))
+        counted = common.written(judged.groupBy("doc_id", "key", "first").count().where("count > 1 or not first"), "simhash-rows", keep=True)
+    same = lambda side: (F.col(key) == side["key"]) & docs["doc_id"].eqNullSafe(side["doc_id"])
+    gone, again = counted.where("not first"), counted.where("first")
+    marked = docs.withColumn(key, mark)
+    # hinted, so that no size makes it another plan: a hash table of a partition's rows that go
+    kept = marked.join(gone.hint("shuffle_hash"), same(gone), "left_anti")
+    if again.isEmpty():
+        return kept.select(docs.columns)
+    others = [c for c in docs.columns if c.lower() not in ("doc_id", "text")]
+    once = kept.join(again, same(again), "left_anti").select(docs.columns)
+    merged = kept.join(again, same(again), "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("_"), *others)).alias("rest"))
+    return once.unionByName(merged.select(*(F.col(c) if c.lower() in ("doc_id", "text") else F.col("rest")[c].alias(c) for c in docs.columns)))
