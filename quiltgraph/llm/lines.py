@@ -5,14 +5,18 @@ MinHash of its eight-byte shingles: one hash a shingle, the least value in each
 empty bins filled from the next full one. Lines that share a band meet in its bucket, where all are tested
 against each other by a few bytes: lines of fewer than ``LONG`` shingles by counts of their shingles in bins,
 a bound that no similar pair fails; longer ones by their signatures, which a similar pair fails with probability
-below 1e-6. The components of these loose links are clusters. Within a cluster every line is compared by the exact Jaccard
-similarity of the shingle sets, large clusters as pairs of blocks, and the components of verified links
-are found. The first line of each component stays.
+below 1e-6. The components of these loose links are clusters. Within a cluster every line is compared by the exact
+Jaccard similarity of the shingle sets, and the components of verified links are found. The first line of each
+component stays.
+
+Large buckets and clusters are dealt out in blocks (:func:`linked`): lines meet in their block, then the blocks'
+representatives meet, and what is still apart from the largest component meets all others. A group of copies of one
+template is one component after the second step, so it costs in proportion to its lines; no pair is left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +39,14 @@ SKETCH, LOOSE = 32, 12
 LONG = 256
 #: Lines of a bucket up to which many buckets' pairs are tested at once.
 FEW = 16
-#: Lines, or bytes of lines, of a cluster compared in one task; larger ones are dealt out as pairs of blocks.
-BLOCK_LINES, BLOCK_BYTES = 1024, 4_000_000
+#: Lines of a bucket, and lines or bytes of lines of a cluster, compared in one task; larger ones are dealt out in blocks.
+#: A bucket's lines are counted by those whose number divides by ``EACH``: what is missed by chance is little larger.
+BUCKET_LINES, BLOCK_LINES, BLOCK_BYTES = 4096, 200, 2_000_000
+EACH = 64
+#: Blocks' worth of trees' centres compared in one task.
+CENTRES = 5
+#: Rows of large groups up to which they are broadcast (16 bytes each); beyond, they are joined.
+BROADCAST_ROWS = 100_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -142,20 +152,21 @@ def jaccard(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__key``: rows equal in doc_id and text are one document."""
-    return docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+def keyed(docs: DataFrame, key: str = "__key") -> DataFrame:
+    """``docs`` with ``key``: rows equal in doc_id and this hash of both are one document."""
+    return docs.withColumn(key, F.xxhash64("doc_id", "text"))
 
 
-def numbers(lines: list[bytes]) -> np.ndarray:
-    """64-bit hashes that stand for the compared lines; two different lines of n share one with probability n^2 / 2^65."""
-    return np.array([xxhash.xxh3_64_intdigest(x) for x in lines], np.uint64).view(np.int64)
+def numbers(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each line. The first stands for it in links; lines are the same if both are."""
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, lines)), np.int64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
-def line_table(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``(key, doc_id, line, number, bands)`` of every line with a word; ``bands`` once a task for each number.
+def line_table(docs: DataFrame, similarity: float = SIMILARITY, key: str = "__key") -> DataFrame:
+    """``(key, doc_id, line, number, check, bands, text)`` of every line with a word; the last two once a task for each number.
 
-    ``bands`` has one or two of the line's :func:`records`.
+    ``bands`` has one or two of the line's :func:`records`, ``text`` what of it is compared.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,18 +183,24 @@ def line_table(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
                             lines.append(x)
                 if not lines:
                     continue
-                number = numbers(lines)
+                number, check = numbers(lines)
+                if len(seen) > common.MEMO_ENTRIES:
+                    seen.clear()
                 new = [i for i, x in enumerate(number.tolist()) if not (x in seen or seen.add(x))]
                 made = [x for at in range(0, len(new), 1000) for x in records([lines[i] for i in new[at : at + 1000]], similarity)]
                 bands = np.concatenate([np.empty(0, np.int64), *made])
                 ends = np.zeros(len(lines) + 1, np.int32)
                 ends[np.array(new, np.int64) + 1] = [len(x) for x in made]
+                texts: list[bytes | None] = [None] * len(lines)
+                for i in new:
+                    texts[i] = lines[i]
+                columns = [pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(number), pa.array(check)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(number), pa.ListArray.from_arrays(pa.array(np.cumsum(ends), pa.int32()), pa.array(bands))],
-                    names=["key", "doc_id", "line", "number", "bands"],
+                    [*columns, pa.ListArray.from_arrays(pa.array(np.cumsum(ends), pa.int32()), pa.array(bands)), pa.array(texts, pa.binary())],
+                    names=["key", "doc_id", "line", "number", "check", "bands", "text"],
                 )
 
-    return docs.select("__key", F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "key bigint, doc_id bigint, line int, number bigint, bands array<bigint>")
+    return docs.select(key, F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "key bigint, doc_id bigint, line int, number bigint, check bigint, bands array<bigint>, text binary")
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
@@ -210,19 +227,24 @@ def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.n
             yield columns, np.array([0]), np.array([len(columns[0])])
 
 
-def loose(numbers: np.ndarray, bins: np.ndarray, sizes: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
-    """Ends of a spanning forest of the lines of one bucket linked by :func:`near`, each tested against all not yet reached."""
+def loose(numbers: np.ndarray, bins: np.ndarray, sizes: np.ndarray, similarity: float = SIMILARITY, lead: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The trees of the lines of one bucket linked by :func:`near`, each line tested against all not yet reached, as stars around the least number.
+
+    With ``lead`` every tree's centre is linked to itself too, a line alone as well.
+    """
     left, right, rest = [], [], np.arange(len(numbers))
-    while len(rest) > 1:
-        front, rest = [rest[0]], rest[1:]
+    while len(rest) > (not lead):
+        front, tree, rest = [rest[0]], [rest[:1]], rest[1:]
         while front and len(rest):
             x = front.pop()
             found = near((bins[x], sizes[x]), (bins[rest], sizes[rest]), similarity)
             if found.any():
-                left.append(np.full(found.sum(), numbers[x]))
-                right.append(numbers[rest[found]])
+                tree.append(rest[found])
                 front += rest[found].tolist()
                 rest = rest[~found]
+        members = np.sort(numbers[np.concatenate(tree)])
+        left.append(np.full(len(members) - (not lead), members[0]))
+        right.append(members[not lead :])
     return tuple(np.concatenate([np.empty(0, np.int64), *x]) for x in (left, right))
 
 
@@ -255,30 +277,98 @@ def mates(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
                 found.append(loose(number[here], bins[here], size[here], similarity))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["a", "b"])
 
+    def in_block(numbers: list[int], columns: list[list[int]], lead: bool) -> tuple[list[int], list[int]]:
+        low, high, size = (np.array(x, np.int64) for x in columns)
+        return tuple(x.tolist() for x in loose(np.array(numbers, np.int64), unpacked(low, high), size, similarity, lead))
+
+    def buckets(some: DataFrame) -> DataFrame:
+        one = [some.where(F.size("bands") > at).select(F.explode(F.slice("bands", at + 1, BANDS)).alias("band"), "number", *(F.col("bands")[at + BANDS + i].alias(n) for i, n in enumerate(("low", "high", "size")))) for at in (0, RECORD)]
+        return one[0].unionAll(one[1])
+
     rows = lines.where(F.size("bands") > 0)
-    one = [rows.where(F.size("bands") > at).select(F.explode(F.slice("bands", at + 1, BANDS)).alias("band"), "number", *(F.col("bands")[at + BANDS + i].alias(n) for i, n in enumerate(("low", "high", "size")))) for at in (0, RECORD)]
-    return one[0].unionAll(one[1]).repartition("band").sortWithinPartitions("band", "number").mapInArrow(run, "a bigint, b bigint")
+    every = buckets(rows)
+    counted = buckets(rows.where(F.col("number") % EACH == 0)).groupBy("band").agg((EACH * F.count_distinct("number")).alias("n"))
+    large = common.written(counted.where(F.col("n") > BUCKET_LINES).select("band", F.ceil(F.col("n") / BUCKET_LINES).cast("int").alias("blocks")), "large-buckets")
+    n_large, links = large.count(), None
+    if n_large:
+        side = F.broadcast if n_large <= BROADCAST_ROWS else lambda x: x
+        links = linked(every.join(side(large), "band").withColumnRenamed("band", "root").distinct(), ["low", "high", "size"], in_block, apart=False)
+        every = every.join(side(large), "band", "left_anti")
+    found = every.repartition("band").sortWithinPartitions("band", "number").mapInArrow(run, "a bigint, b bigint")
+    return found if links is None else found.unionAll(links)
 
 
-def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(number, line)``: the compared text of each line of ``wanted(number)``."""
+def compared(rows: DataFrame, columns: list[str], compare: Callable, lead: bool = False) -> DataFrame:
+    """``(a, b)`` from ``compare`` (numbers, columns, ``lead``) of the distinct lines of each (root, i, j) of ``rows``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        key, found = None, {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if len(found) > (not lead):
+                a, b = compare(list(found), list(zip(*found.values())), lead)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
         for batch in batches:
-            for part in common.slices(batch, 500):
-                lines = [x for t in part.column(0).to_pylist() for x in map(normal, (t or "").split("\n")) if x]
-                number = numbers(lines)
-                new = [i for i, x in enumerate(number.tolist()) if not (x in seen or seen.add(x))]
-                if new:
-                    yield pa.RecordBatch.from_arrays([pa.array(number[new]), pa.array([lines[i] for i in new], pa.binary())], names=["number", "line"])
+            for *here, number, row in zip(*(batch.column(i).to_pylist() for i in range(4)), zip(*(batch.column(4 + i).to_pylist() for i in range(len(columns))))):
+                if here != key:
+                    yield from out()
+                    key, found = here, {}
+                found[number] = row
+        yield from out()
 
-    every = docs.select("text").mapInArrow(run, "number bigint, line binary")
-    return every.join(wanted, "number", "left_semi").groupBy("number").agg(F.min("line").alias("line"))
+    rows = rows.select("root", "i", "j", "number", *columns)
+    return rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "number").mapInArrow(run, "a bigint, b bigint")
 
 
-def forest(lines: list[bytes], similarity: float) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the lines linked at ``similarity`` or more, each compared with all not yet reached.
+def linked(rows: DataFrame, columns: list[str], compare: Callable, apart: bool) -> DataFrame:
+    """``(a, b)``: edges that join exactly what all pairs of ``rows(root, blocks, number, *columns)`` of one root join.
+
+    ``compare`` gives the trees of a block's lines as stars; ``blocks`` is how many a root's lines make. First
+    each block's lines are compared, then the centres of the blocks' trees, in pairs of larger blocks. Lines that
+    are then not of their root's largest component are compared with all others of the root. If the roots are
+    ``apart``, no line being in two, the edges are stars.
+    """
+    block = lambda n: F.pmod(F.xxhash64("number", F.lit("block")), n).cast("int")
+    every = common.written(rows, "line-groups")
+    first = common.written(compared(every.withColumns({"i": block(F.col("blocks")), "j": F.lit(0)}), columns, compare, lead=True), "line-blocks")
+    leading = every.join(first.where("a = b").select(F.col("a").alias("number")).distinct(), "number", "left_semi")
+    size = leading.groupBy("root").agg(F.count("*").alias("led")).join(every.groupBy("root").agg(F.count("*").alias("n")), "root")
+    dealt = leading.join(size, "root").withColumn("many", F.ceil(F.col("led") * F.col("blocks") / F.col("n") / CENTRES).cast("int")).withColumn("own", block(F.col("many")))
+    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    second = common.written(compared(pairs, columns, compare), "line-centres")
+    # a line's centre (the least, if it is in several roots), and the centre's component
+    parts = common.components(second, "line-groups")
+    centres = first.select(F.col("b").alias("number"), F.col("a").alias("centre")).groupBy("number").agg(F.min("centre").alias("centre"))
+    placed = every.join(centres, "number").join(parts.select(F.col("node").alias("centre"), F.col("root").alias("part")), "centre", "left")
+    placed = common.written(placed.withColumn("part", F.coalesce("part", "centre")), "line-parts")
+    main = placed.groupBy("root", "part").count().groupBy("root").agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("most"))
+    main = common.written(main.where("n > most"), "line-mains")
+    stars = placed.select(F.col("part").alias("a"), F.col("number").alias("b")) if apart else first.unionAll(second)
+    if main.isEmpty():
+        return stars.where("a <> b")
+    # of each root that has any: its m lines outside the main component, in blocks, meet all in blocks
+    across = placed.join(main, "root").withColumn("across", F.ceil((F.col("n") - F.col("most")) * F.col("blocks") / F.col("n")).cast("int"))
+    rest = across.where("part <> main").withColumn("i", block(F.col("across"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    others = across.withColumn("j", block(F.col("blocks"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("across") - 1)))
+    third = compared(rest.unionByName(others), columns, compare)
+    if not apart:
+        return stars.where("a <> b").unionAll(third)
+    part = lambda end: placed.select(F.col("number").alias(end), F.col("part").alias(f"part_{end}"))
+    ends = third.join(part("a"), "a").join(part("b"), "b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b"))
+    tops = common.components(ends, "line-parts").select(F.col("node").alias("a"), F.col("root").alias("top"))
+    return stars.join(tops, "a", "left").select(F.coalesce("top", "a").alias("a"), "b").where("a <> b")
+
+
+def texts_of(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(number, check, text)``: the compared text of each line of ``wanted(number)``; of different lines with one number, the least."""
+    every = lines.where("text is not null").select("number", "check", "text").join(wanted, "number", "left_semi")
+    return every.groupBy("number").agg(F.min(F.struct("text", "check")).alias("line")).select("number", "line.check", "line.text")
+
+
+def forest(lines: list[bytes], similarity: float) -> list[list[int]]:
+    """The trees of the lines linked at ``similarity`` or more, each line compared with all not yet reached.
 
     The shingles a line shares with every other one are counted from postings.
     """
@@ -294,11 +384,12 @@ def forest(lines: list[bytes], similarity: float) -> list[tuple[int, int]]:
     posting = np.repeat(np.arange(len(starts)), ends - starts)
     by_line = np.argsort(owner, kind="stable")
     bounds = np.concatenate([[0], np.cumsum(sizes)])
-    left, edges = np.ones(len(lines), bool), []
+    left, trees = np.ones(len(lines), bool), []
     for first in range(len(lines)):
         if not left[first]:
             continue
         left[first] = False
+        trees.append([first])
         front = [first]
         while front and left.any():
             x = front.pop()
@@ -307,61 +398,56 @@ def forest(lines: list[bytes], similarity: float) -> list[tuple[int, int]]:
             rows = np.repeat(starts[p] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
             both = np.bincount(owner[rows], minlength=len(lines))
             near = np.flatnonzero(left & (both >= similarity * (sizes + sizes[x] - both) - 1e-9))
-            edges += [(x, int(y)) for y in near]
             left[near] = False
+            trees[-1] += near.tolist()
             front += near.tolist()
-    return edges
+    return trees
 
 
 def verified(clusters: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``(a, b)``: edges that connect exactly the lines that pairs at ``similarity`` connect within ``clusters(node, root)``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, numbers, lines = None, [], []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            if len(lines) > 1 and (edges := forest(lines, similarity)):
-                yield pa.RecordBatch.from_arrays([pa.array([numbers[e[i]] for e in edges], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-        for batch in batches:
-            for *here, number, line in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if here != key:
-                    yield from out()
-                    key, numbers, lines = here, [], []
-                numbers.append(number)
-                lines.append(line)
-        yield from out()
-
-    rows = texts.join(clusters.withColumnRenamed("node", "number"), "number")
-    sizes = common.written(rows.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("bytes")), "line-clusters")
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_LINES), F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1)).cast("int")
-    dealt = rows.join(sizes, "root").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("number"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("root", "number", "line", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "number", "line")
-    return dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, "a bigint, b bigint")
-
-
-def classes(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``(node, root)``: the components of fuzzily equal lines, those of two lines or more."""
-    clusters = common.written(common.components(mates(lines, similarity), "line-mates"), "line-mates")
-    texts = common.written(texts_of(docs, clusters.select(F.col("node").alias("number"))), "line-texts")
-    return common.components(verified(clusters, texts, similarity), "line-components")
-
-
-def removals(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``(key, lines)``: numbers of the lines to take out of each of the :func:`keyed` documents that have such."""
-    lines = common.written(line_table(docs, similarity), "lines")
-    roots = classes(docs, lines, similarity)
+    def in_block(numbers: list[int], columns: list[list[bytes]], lead: bool) -> tuple[list[int], list[int]]:
+        trees = [sorted(numbers[i] for i in tree) for tree in forest(columns[0], similarity)]
+        # stars around the least number, so that components need few rounds or none
+        edges = [(tree[0], x) for tree in trees for x in tree[not lead :]]
+        return [a for a, _ in edges], [b for _, b in edges]
+
+    rows = common.written(texts.select("number", "text").join(clusters.withColumnRenamed("node", "number"), "number"), "line-clusters")
+    sizes = rows.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("bytes"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_LINES, F.col("bytes") / BLOCK_BYTES)).cast("int")
+    large = common.written(sizes.select("root", blocks.alias("blocks")).where("blocks > 1"), "large-clusters")
+    n_large, links = large.count(), None
+    if n_large:
+        side = F.broadcast if n_large <= BROADCAST_ROWS else lambda x: x
+        links = linked(rows.join(side(large), "root"), ["text"], in_block, apart=True)
+        rows = rows.join(side(large), "root", "left_anti")
+    found = compared(rows.withColumns({"i": F.lit(0), "j": F.lit(0)}), ["text"], in_block)
+    return found if links is None else found.unionAll(links)
+
+
+def classes(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``(number, check, root)``: the components of fuzzily equal lines, those of two lines or more."""
+    with common.scratch(lines.sparkSession):
+        clusters = common.components(mates(lines, similarity), "line-mates")
+        texts = common.written(texts_of(lines, clusters.select(F.col("node").alias("number"))), "line-texts")
+        roots = common.components(verified(clusters, texts, similarity), "line-components")
+        return common.written(roots.withColumnRenamed("node", "number").join(texts.select("number", "check"), "number"), "line-classes", keep=True)
+
+
+def removals(docs: DataFrame, similarity: float = SIMILARITY, key: str = "__key") -> DataFrame:
+    """``(key, doc_id, lines)``: places of the lines to take out of each of the :func:`keyed` documents that have such."""
+    lines = common.written(line_table(docs, similarity, key), "lines")
+    roots = classes(lines, similarity)
     # order of documents: by id, null first, then by key
     place = F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "key", "line")
-    known = lines.groupBy("number").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    known = known.join(roots.withColumnRenamed("node", "number"), "number", "left")
-    alone = known.where("root is null and n > 1").select("number", "first")
-    grouped = known.where("root is not null")
-    lowest = common.written(grouped.groupBy("root").agg(F.min("first").alias("first")), "line-firsts")
-    repeated = common.written(alone.unionAll(grouped.drop("first").join(lowest, "root").select("number", "first")), "line-repeats")
-    gone = lines.drop("bands").join(repeated, "number").where("not (key = first.key and line = first.line)")
-    return gone.groupBy("key").agg(F.collect_set("line").alias("lines"))
+    known = lines.groupBy("number", "check").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    known = common.written(known.join(roots, ["number", "check"], "left").where("root is not null or n > 1").select("number", "check", "root", "first"), "line-known")
+    lowest = known.where("root is not null").groupBy("root").agg(F.min("first").alias("lowest"))
+    repeated = known.join(lowest, "root", "left").select("number", "check", F.coalesce("lowest", "first").alias("first"))
+    gone = lines.select("number", "check", "key", "doc_id", "line").join(repeated, ["number", "check"])
+    gone = gone.where("not (key = first.key and line = first.line and doc_id <=> first.doc_id)")
+    return gone.groupBy("key", "doc_id").agg(F.collect_set("line").alias("lines"))
 
 
 def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -370,12 +456,18 @@ def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     Of the lines of a component the first one stays, by doc_id (null first), key and place; the others
     go, in the same document too. Lines without a word stay. Null texts stay null and have no lines; a
     text of which nothing is left is empty. Rows equal in doc_id and text count as one document and come
-    out alike. Other columns stay; an empty table gives an empty one.
+    out alike. Other columns stay, but for ones named ``n_lines`` or ``n_removed``; an empty table gives
+    an empty one. A document's own lines are held in one row, as its text is.
     """
-    marked = keyed(docs.drop("n_lines", "n_removed"))
-    gone = common.written(removals(marked.select("__key", "doc_id", "text"), similarity), "line-removals")
-    joined = marked.join(gone.select(F.col("key").alias("__key"), F.col("lines").alias("__gone")), "__key", "left")
+    key, gone = common.unused(docs.columns, "key", "gone")
+    marked = keyed(docs.drop("n_lines", "n_removed"), key)
+    with common.scratch(docs.sparkSession):
+        out = common.written(removals(marked.select(key, "doc_id", "text"), similarity, key).withColumnRenamed("lines", gone), "line-removals", keep=True)
+    # hinted, so that no size makes it another plan: documents are shuffled once, and never sorted
+    joined = marked.join(out.hint("shuffle_hash"), (marked[key] == out["key"]) & marked["doc_id"].eqNullSafe(out["doc_id"]), "left").drop(out["key"], out["doc_id"])
     parts = F.split("text", "\n", -1)
-    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    counted = joined.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(parts))).withColumn("n_removed", F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")))
-    return counted.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left)).drop("__key", "__gone")
+    # a map of the places, so that a document takes time in proportion to its lines
+    places = F.map_from_entries(F.transform(gone, lambda i: F.struct(i, F.lit(True))))
+    left = F.array_join(F.filter(parts, lambda x, i: ~F.map_contains_key(places, i)), "\n")
+    counted = joined.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(parts))).withColumn("n_removed", F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)))
+    return counted.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(left)).drop(key, gone)

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -64,13 +65,27 @@ def test_simhash_odd(odd, empty):
     assert simhash.near_duplicates(empty).count() == 0
     kept = simhash.drop_near_duplicates(odd)
     assert kept.columns == odd.columns
-    named = [(r.doc_id, r.text) for r in kept.collect() if r.doc_id is not None]
-    assert len(named) == len({d for d, _ in named}) == len({c for (d, _), (_, c) in zip(rows, brute_classes(rows)) if d is not None and c is not None})
-
-
-def test_simhash_links_in_blocks(spark, monkeypatch):
-    """Many fingerprints around one centre, with buckets dealt out as pairs of small blocks."""
-    monkeypatch.setattr(simhash, "BLOCK", 16)
+    # one row of each group, ids shared by different texts and missing ids included: that with the smallest id
+    prints, sets = [brute_print(t) for _, t in rows], Sets()
+    for i, x in enumerate(prints):
+        sets.find(i)
+        for j in range(i):
+            if (x ^ prints[j]).bit_count() <= 3:
+                sets.unite(i, j)
+    groups = {}
+    for i, (d, _) in enumerate(rows):
+        groups.setdefault(sets.find(i), []).append((d is None, d))
+    left = sorted((d is None, d) for d, in kept.select("doc_id").collect())
+    assert left == sorted(min(g, key=lambda x: (x[0], x[1] or 0)) for g in groups.values()) and 9 in [d for _, d in left]
+    assert simhash.drop_near_duplicates(empty).count() == 0
+    clash = odd.withColumnRenamed("lang", "__key").withColumnRenamed("source", "fp")
+    assert sorted(map(str, simhash.drop_near_duplicates(clash).collect())) == sorted(map(str, kept.withColumnRenamed("lang", "__key").withColumnRenamed("source", "fp").collect()))
+
+
+@pytest.mark.parametrize("full", [1, 12, 2048])
+def test_simhash_links_of_full_halves(spark, monkeypatch, full):
+    """Many fingerprints around one centre, with all, some or no buckets split by quarters."""
+    monkeypatch.setattr(simhash, "FULL", full)
     rng = random.Random(5)
     centre, values = rng.getrandbits(64), set()
     for _ in range(160):
@@ -195,8 +210,8 @@ def test_short_lines(spark):
     pairs = similar_mates(texts)
     assert len(pairs) > 100 and (texts.index(b"chapter 227"), texts.index(b"chapter 2274")) in pairs
     docs = lines.keyed(spark.createDataFrame([(i, x.decode()) for i, x in enumerate(texts)], "doc_id bigint, text string"))
-    root = {r.node: r.root for r in lines.classes(docs, common.written(lines.line_table(docs), "lines")).collect()}
-    number = lines.numbers(texts).tolist()
+    root = {r.number: r.root for r in lines.classes(common.written(lines.line_table(docs), "lines")).collect()}
+    number = lines.numbers(texts)[0].tolist()
     assert [(texts[i], texts[j]) for i, j in pairs if root.get(number[i], -1) != root.get(number[j], -2)] == []
 
 
@@ -207,6 +222,56 @@ def test_short_pair(spark):
     assert {r.doc_id: r.text for r in got.collect()} == {1: "chapter 227", 2: ""}
 
 
+def templates(rng):
+    """Lines of a few templates, many much alike, some that are near to one only."""
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(60)]
+    made = set()
+    for _ in range(4):
+        body = [rng.choice(words) for _ in range(28)]
+        for _ in range(60):
+            line = body[:]
+            for _ in range(rng.choice([0, 1, 1, 1, 2, 8])):
+                line[rng.randrange(28)] = rng.choice(words)
+            made.add(" ".join(line))
+    return sorted(x.encode() for x in made)
+
+
+@pytest.mark.parametrize("apart", [True, False])
+def test_linked_is_whole(spark, monkeypatch, apart):
+    """All pairs of a group, in blocks of a few lines, join as all pairs at once do."""
+    monkeypatch.setattr(lines, "CENTRES", 1)
+    texts = templates(random.Random(21))
+    sets = Sets()
+    for i, x in enumerate(texts):
+        sets.find(i)
+        for j in range(i):
+            if lines.jaccard(x, texts[j]) >= 0.8:
+                sets.unite(i, j)
+    assert 4 < len({sets.find(i) for i in range(len(texts))}) < len(texts) / 2
+    rows = spark.createDataFrame([(7, i, x, 9) for i, x in enumerate(texts)], "root bigint, number bigint, text binary, blocks int")
+
+    def in_block(numbers, columns, lead):
+        edges = [(min(numbers[i] for i in tree), numbers[j]) for tree in lines.forest(columns[0], 0.8) for j in tree]
+        return tuple(zip(*[(a, b) for a, b in edges if lead or a != b])) or ((), ())
+
+    got = Sets()
+    for r in lines.linked(rows, ["text"], in_block, apart).collect():
+        got.unite(r.a, r.b)
+    assert [got.find(i) for i in range(len(texts))] == [sets.find(i) for i in range(len(texts))]
+
+
+def test_large_buckets_and_clusters(spark, monkeypatch):
+    """Lines of templates, with all buckets and clusters large: every two bucket mates similar enough end in one class."""
+    for name, n in (("BUCKET_LINES", 8), ("BLOCK_LINES", 8), ("EACH", 1), ("CENTRES", 1)):
+        monkeypatch.setattr(lines, name, n)
+    texts = templates(random.Random(22))
+    pairs = similar_mates(texts)
+    docs = lines.keyed(spark.createDataFrame([(i, x.decode()) for i, x in enumerate(texts)], "doc_id bigint, text string"))
+    root = {r.number: r.root for r in lines.classes(common.written(lines.line_table(docs), "lines")).collect()}
+    number = lines.numbers(texts)[0].tolist()
+    assert len(pairs) > 200 and [(texts[i], texts[j]) for i, j in pairs if root.get(number[i], -1) != root.get(number[j], -2)] == []
+
+
 def test_lines_of_any_length_may_meet():
     """No similar pair fails the test in the bucket, around the length where it changes too."""
     rng, tested = random.Random(8), 0
@@ -297,6 +362,42 @@ def test_decontamination_in_other_case(spark, sf):
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()} == truth
 
 
+def pairs_of(docs, items):
+    index, words = decontaminate.Index.of(list(enumerate(items))), decontaminate.Words()
+    return [[i for i, _ in decontaminate.contained(t, words, index)] for t in docs]
+
+
+def test_decontamination_by_values():
+    """The templates' placeholders count where words stand with them and each value keeps its place."""
+    item = "Tom has 5 apples and gives 3 apples to Anna . How many apples does Tom have after 2 days ?"
+    other = "Mia has 12 apples and gives 7 apples to Carl . How many apples does Mia have after 9 days ?"
+    same = "then {} takes {} coins , then {} loses {} coins , then {} finds {} coins , then {} sells {} coins"
+    long = " ".join(f"word{i} more" for i in range(300))
+    tail = " Round it to a whole number and put it in a box at the end of the page"
+    cut = (other + tail).replace("Carl . How", f"Carl . {long} How")
+    partial = "Mia has 12 apples and gives 7 apples to Carl . How many apples does Mia now " + long
+    assert pairs_of([item, other, f"{long} {other} {long}", f"{partial} {other.replace('12', '4').replace('7 ', '1 ')}"], [item]) == [[0]] * 4
+    assert pairs_of([long, "Mia has 12 apples and gives 7 apples", "apples " * 30], [item]) == [[]] * 3
+    # numbers alone are not enough: their windows are those of the numbers
+    assert pairs_of(["10 20 30 40 50 60 70", "1 2 3 4 5 6", "x 1 2 3 4 5 6 7 8"], ["1 2 3 4 5 6"]) == [[], [0], [0]]
+    assert pairs_of(["Ann Bob Carol Dave Eve Fay", "ANN BOB carol dave EVE"], ["Ann Bob Carol Dave Eve"]) == [[0], [0]]
+    assert pairs_of([same.format(*["Mia", 8] * 4), same.format("Mia", 8, "Joe", 2, "Ann", 4, "Bob", 6)], [same.format(*["Tom", 5] * 4)]) == [[0], []]
+    assert pairs_of([cut], [item + tail]) == [[0]]
+
+
+def test_decontamination_of_tables():
+    """Tables of numbers and texts of one word take seconds, whole and re-parameterised."""
+    rng, began = random.Random(4), time.time()
+    numbers = " ".join(str(rng.randrange(10)) for _ in range(5000))
+    rows = " ".join(f"row {i} has {rng.randrange(100)} units" for i in range(1000))
+    again = " ".join(f"row {i + 4000} has {1000 + i} units" for i in range(1000))
+    same = "0 " * 5000
+    found = pairs_of([numbers, "7 " + numbers, same, "1 " * 5000, "a " * 5000, rows, f"{same} {rows} {numbers}"], [numbers, same, "a " * 4000, rows])
+    assert found == [[0], [0], [1], [], [2], [3], [0, 1, 3]]
+    assert pairs_of([again], [rows]) in ([[]], [[0]])
+    assert time.time() - began < 60
+
+
 def test_words_start_anew():
     words, few = decontaminate.Words(), decontaminate.Words()
     few.memo.limit = 7
