@@ -52,7 +52,7 @@ GENERATORS = {
     "phone_extension": ("phone", r"(?i)(?<![0-9A-Za-z+])(?:\([0-9]{2,5}\)|[0-9]{2,5})(?:[\x20./-]{1,2}[0-9]{2,5}){1,4}\x20?(?:x|ext\.?)\x20?[0-9]{1,5}(?![0-9A-Za-z])", r"(?i)[0-9]\x20?(?:x|ext\.?)\x20?[0-9]"),
     "phone_local": ("phone", r"(?<![0-9A-Za-z+])[0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z])", "[0-9][.-][0-9]"),
     "secret_value": ("secret", rf"(?i)(?<={_NAMED}[\x22']?\x20{{0,2}}[:=]\x20{{0,2}}[\x22']?)[^\s\x22',;:=][^\s\x22',;]{{4,126}}[^\s\x22',;.)]", rf"(?i){_NAMED}[\x22']?\x20{{0,2}}[:=]"),
-    "secret_run": ("secret", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,127}[0-9])[A-Za-z0-9+/_-]{24,128}={0,2}(?![A-Za-z0-9+/_=-])", "[A-Za-z0-9+/_-]{24}"),
+    "secret_run": ("secret", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,127}[0-9])[A-Za-z0-9+/_-]{24,128}={0,2}(?![A-Za-z0-9+/_=-])", "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24}"),
     "secret_prefix": ("secret", r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}|sk[_-](?:live|test)[_-][A-Za-z0-9]{16,64}|xox[abpr]-[A-Za-z0-9-]{10,64}|eyJ[A-Za-z0-9_-]{8,255}\.[A-Za-z0-9_-]{8,255}\.[A-Za-z0-9_-]{8,255})(?![A-Za-z0-9])", "AKIA|gh[opsu]_|sk[_-](?:live|test)|xox[abpr]-|eyJ"),
 }
 #: Code points before and after a candidate that its features see.
@@ -164,13 +164,18 @@ def proposed(docs: DataFrame) -> DataFrame:
     digit, at = F.col("digit"), F.contains(F.col("text"), F.lit("@"))
     gates = {"email": at, "ip": digit, "card": digit, "phone": digit & F.contains(F.col("text"), F.lit("+"))}
     tried = {f"base_{k}": (i, BASE[k], gates[k]) for i, k in enumerate(KINDS)}
-    tried |= {n: (ALL.index(kind), p, (F.lit(True) if kind in ("email", "secret") else digit) & F.col("text").rlike(test)) for n, (kind, p, test) in GENERATORS.items()}
+    # what any match has in it; the tests proper are tried on what has that only, and equal tests once
+    has = lambda *parts: reduce(lambda a, b: a | b, (F.contains(F.col("text"), F.lit(x)) for x in parts))
+    needs = {"secret_value": has("=", ":"), "secret_prefix": has("_", "AKIA", "xox", "eyJ", "sk-")}
+    tests = {test: f"t_{i}" for i, test in enumerate(dict.fromkeys(t for *_, t in GENERATORS.values()))}
+    first = {t: needs.get(n, F.lit(True) if kind == "email" else digit) for n, (kind, _, t) in GENERATORS.items()}
+    tried |= {n: (ALL.index(kind), p, F.col(tests[t])) for n, (kind, p, t) in GENERATORS.items()}
     none = F.array().cast("array<string>")
-    docs = docs.withColumn("digit", F.col("text").rlike("[0-9]"))
+    docs = docs.withColumn("digit", F.col("text").rlike("[0-9]")).withColumns({c: first[t] & F.col("text").rlike(t) for t, c in tests.items()})
     docs = docs.withColumns({f"m_{n}": F.when(gate, F.regexp_extract_all("text", F.lit(p), F.lit(0))).otherwise(none) for n, (_, p, gate) in tried.items()})
     docs = docs.withColumns({f"g_{n}": F.when(F.size(f"m_{n}") > 0, F.split("text", p, -1)) for n, (_, p, _) in tried.items()})
     spans = lambda names: located([(tried[n][0], F.col(f"m_{n}"), F.col(f"g_{n}")) for n in names])
-    docs = docs.withColumns({"base": spans([f"base_{k}" for k in KINDS]), "any": spans(GENERATORS)}).drop("digit", *(f"{x}_{n}" for x in "mg" for n in tried))
+    docs = docs.withColumns({"base": spans([f"base_{k}" for k in KINDS]), "any": spans(GENERATORS)}).drop("digit", *tests.values(), *(f"{x}_{n}" for x in "mg" for n in tried))
     holds = lambda s: reduce(lambda rest, i: rest.when(s["kind"] == i, base_holds(KINDS[i], s["value"])), range(2, len(KINDS)), F.when(s["kind"] == 1, base_holds("ip", s["value"]))).otherwise(F.lit(True))
     docs = docs.withColumn("base", F.filter("base", holds))
     # equal spans of several generators count once; a candidate that a base span overlaps is not needed
