@@ -45,6 +45,11 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a table that :func:`written` made and that nothing will read again."""
+    delete(df.sparkSession, sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()}))
+
+
 def delete(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)

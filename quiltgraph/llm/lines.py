@@ -443,8 +443,10 @@ def removals(docs: DataFrame, similarity: float = SIMILARITY, key: str = "__key"
     place = F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "key", "line")
     known = lines.groupBy("number", "check").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     known = common.written(known.join(roots, ["number", "check"], "left").where("root is not null or n > 1").select("number", "check", "root", "first"), "line-known")
-    lowest = known.where("root is not null").groupBy("root").agg(F.min("first").alias("lowest"))
-    repeated = known.join(lowest, "root", "left").select("number", "check", F.coalesce("lowest", "first").alias("first"))
+    # lines in no component apart, so that they do not meet in one task
+    alone, grouped = known.where("root is null"), known.where("root is not null")
+    lowest = grouped.groupBy("root").agg(F.min("first").alias("lowest"))
+    repeated = alone.select("number", "check", "first").unionAll(grouped.join(lowest, "root").select("number", "check", F.col("lowest").alias("first")))
     gone = lines.select("number", "check", "key", "doc_id", "line").join(repeated, ["number", "check"])
     gone = gone.where("not (key = first.key and line = first.line and doc_id <=> first.doc_id)")
     return gone.groupBy("key", "doc_id").agg(F.collect_set("line").alias("lines"))
@@ -459,15 +461,15 @@ def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     out alike. Other columns stay, but for ones named ``n_lines`` or ``n_removed``; an empty table gives
     an empty one. A document's own lines are held in one row, as its text is.
     """
-    key, gone = common.unused(docs.columns, "key", "gone")
+    key, gone, parts = common.unused(docs.columns, "key", "gone", "parts")
     marked = keyed(docs.drop("n_lines", "n_removed"), key)
     with common.scratch(docs.sparkSession):
         out = common.written(removals(marked.select(key, "doc_id", "text"), similarity, key).withColumnRenamed("lines", gone), "line-removals", keep=True)
     # hinted, so that no size makes it another plan: documents are shuffled once, and never sorted
     joined = marked.join(out.hint("shuffle_hash"), (marked[key] == out["key"]) & marked["doc_id"].eqNullSafe(out["doc_id"]), "left").drop(out["key"], out["doc_id"])
-    parts = F.split("text", "\n", -1)
-    # a map of the places, so that a document takes time in proportion to its lines
-    places = F.map_from_entries(F.transform(gone, lambda i: F.struct(i, F.lit(True))))
-    left = F.array_join(F.filter(parts, lambda x, i: ~F.map_contains_key(places, i)), "\n")
-    counted = joined.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(parts))).withColumn("n_removed", F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)))
-    return counted.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(left)).drop(key, gone)
+    cut = joined.withColumn(parts, F.split("text", "\n", -1))
+    # the places that stay, by a hash set, so that a document takes time in proportion to its lines
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))
+    left = F.array_join(F.transform(stay, lambda i: F.get(F.col(parts), i)), "\n")
+    counted = cut.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)), "n_removed": F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)), "text": F.when(F.col(gone).isNull(), F.col("text")).otherwise(left)})
+    return counted.select(*(c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")), "n_lines", "n_removed")

@@ -415,6 +415,19 @@ def test_decontamination_odd(spark, odd, empty):
     assert left.columns == odd.columns and left.count() == odd.count() - 4
 
 
+def test_pipeline_odd(spark, sf, odd, empty):
+    """Odd rows, an empty table and columns of clashing names go through all stages; clean rows stay."""
+    import corpus_pipeline
+
+    for start in (odd.withColumns({"__key": F.lit(1), "__quality": F.lit("q"), "row": F.lit(2), "first": F.lit(None).cast("int"), "gone": F.lit(3), "count": F.lit(4)}), empty):
+        found = start
+        for name, stage in corpus_pipeline.STAGES:
+            made = stage(spark, found, sf)
+            assert name == "sentencepiece" or made.columns == start.columns
+            found = common.written(made, name)
+        assert found.count() <= start.count() and {"doc_id", "ids", "n_tokens", "decoded"} <= set(found.columns)
+
+
 def test_pipeline(spark, sf, docs):
     """Each stage against brute force on its own input."""
     import corpus_pipeline
