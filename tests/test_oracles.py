@@ -1,5 +1,7 @@
 """Registered queries against their SQL, run by DuckDB on the same tables."""
 
+import sys
+
 import duckdb
 import pytest
 
@@ -38,3 +40,11 @@ def test_entry_points(spark):
 
     rows = entry.entry(spark).collect()
     assert len(rows) == 6 and set(catalog.ENTRIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_points_without_a_dependency(monkeypatch):
+    """Where the training-data queries cannot be imported the others are still there."""
+    import __spark_entry__ as entry
+
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    assert set(entry.queries()) == set(catalog.ENTRIES) and set(entry.oracle_sql()) == set(catalog.oracle_sql())
