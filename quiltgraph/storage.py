@@ -15,7 +15,7 @@ def shared_dir(spark: SparkSession) -> str:
     global _local
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _local is None:
         _local = "file://" + tempfile.mkdtemp(prefix="quiltgraph-")
