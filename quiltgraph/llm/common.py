@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -25,14 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _local is None:
         _local = "file://" + tempfile.mkdtemp(prefix="quiltgraph-")
     return _local
 
 
-def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str, keep: bool = False, compression: str = "snappy") -> DataFrame:
     """``df`` written to the shared folder and read back: cuts lineage and outlives executors.
 
     Within :func:`scratch` it goes with the others at its end; with ``keep`` only with the next outer one.
@@ -41,7 +42,7 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if len(_open) > keep:
         _open[-1 - keep].append(path)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -58,12 +59,18 @@ def delete(spark: SparkSession, paths: list[str]) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[list[str]]:
-    """Deletes, at its end, the tables that :func:`written` makes within and does not keep. Nothing read later may rest on them."""
+    """Deletes, at its end, the tables that :func:`written` makes within and does not keep. Nothing read later may rest on them.
+
+    The driver then collects its garbage, whereupon Spark removes the shuffle files of jobs that are done:
+    otherwise they stay on the executors' disks until it happens to.
+    """
     _open.append([])
     try:
         yield _open[-1]
     finally:
         delete(spark, _open.pop())
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 def unused(columns: list[str], *names: str) -> list[str]:

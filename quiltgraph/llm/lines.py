@@ -437,7 +437,7 @@ def classes(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 def removals(docs: DataFrame, similarity: float = SIMILARITY, key: str = "__key") -> DataFrame:
     """``(key, doc_id, lines)``: places of the lines to take out of each of the :func:`keyed` documents that have such."""
-    lines = common.written(line_table(docs, similarity, key), "lines")
+    lines = common.written(line_table(docs, similarity, key), "lines", compression="zstd")  # as large as the texts
     roots = classes(lines, similarity)
     # order of documents: by id, null first, then by key
     place = F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "key", "line")
@@ -445,7 +445,8 @@ def removals(docs: DataFrame, similarity: float = SIMILARITY, key: str = "__key"
     known = common.written(known.join(roots, ["number", "check"], "left").where("root is not null or n > 1").select("number", "check", "root", "first"), "line-known")
     # lines in no component apart, so that they do not meet in one task
     alone, grouped = known.where("root is null"), known.where("root is not null")
-    lowest = grouped.groupBy("root").agg(F.min("first").alias("lowest"))
+    # written, so that the join reads two plain exchanges and a large component's partition can be split
+    lowest = common.written(grouped.groupBy("root").agg(F.min("first").alias("lowest")), "line-firsts")
     repeated = alone.select("number", "check", "first").unionAll(grouped.join(lowest, "root").select("number", "check", F.col("lowest").alias("first")))
     gone = lines.select("number", "check", "key", "doc_id", "line").join(repeated, ["number", "check"])
     gone = gone.where("not (key = first.key and line = first.line and doc_id <=> first.doc_id)")
