@@ -23,7 +23,7 @@ def match(graph: Graph, pattern: Pattern, order: tuple[int, ...] | None = None,
     Without a candidate space the data's edges of the right labels stand in for candidates.
     """
     order = orders.exact(pattern)[0] if order is None and pattern.size <= orders.EXACT_UP_TO else orders.generate(pattern)[0] if order is None else order
-    codes = None
+    graph, codes = graph.part(pattern), None
     if space is not None:
         first = space.vertices.where(F.col("qv") == order[0]).select(F.col("v").alias(f"v{order[0]}"))
     else:

@@ -127,7 +127,7 @@ def hits(graph: Graph, space: CandidateSpace, tree: Tree, trials: DataFrame) ->
                 trials = trials.where(F.col(f"v{a}") != F.col(f"v{b}"))
     for a, b, label in pattern.edges:
         if frozenset((a, b)) not in of_tree:
-            real = graph.edges.where(F.col("elabel") == label).select(F.col("src").alias(f"v{a}"), F.col("dst").alias(f"v{b}"))
+            real = graph.part(pattern).edges.where(F.col("elabel") == label).select(F.col("src").alias(f"v{a}"), F.col("dst").alias(f"v{b}"))
             trials = trials.join(real, [f"v{a}", f"v{b}"], "left_semi")
     return trials
 

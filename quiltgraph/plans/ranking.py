@@ -29,7 +29,7 @@ def weight(k: Column) -> Column:
 def exact_estimates(graph: Graph, pattern: Pattern, prefixes: DataFrame, space_of: Callable[[Pattern], CandidateSpace] | None = None) -> DataFrame:
     """Exact cardinality of each distinct prefix, one plan for all; at most 2**|V| - 1 of them."""
     keys = sorted(r.prefix_key for r in prefixes.select("prefix_key").distinct().collect())
-    parts = []
+    graph, parts = graph.part(pattern), []
     for key in keys:
         sub = pattern.induced(map(int, key.split(",")))
         parts.append(matcher.count(graph, sub, space=space_of(sub) if space_of else None).select(F.lit(key).alias("prefix_key"), F.col("n").cast("double").alias("est")))
