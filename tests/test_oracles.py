@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from quiltgraph import catalog
+from quiltgraph.sources import projection
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 #: The slowest are left to the driver's own comparison.
@@ -48,3 +49,16 @@ def test_entry_points_without_a_dependency(monkeypatch):
 
     monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
     assert set(entry.queries()) == set(catalog.ENTRIES) and set(entry.oracle_sql()) == set(catalog.oracle_sql())
+
+
+#: Queries whose candidates need no more than a part of the graph.
+PARTIAL = """
+neighbor_safety
+""".split()
+
+
+@pytest.mark.parametrize("name", PARTIAL)
+def test_no_whole_graph_is_built(spark, sf, monkeypatch, name):
+    monkeypatch.setattr(projection, "_built", {})
+    catalog.queries()[name](spark, sf).count()
+    assert projection._built and not any({"ends", "vertices", "_whole"} & set(vars(g)) for g in projection._built.values())
