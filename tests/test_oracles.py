@@ -72,3 +72,17 @@ def test_no_whole_graph_is_built(spark, sf, monkeypatch, name):
     monkeypatch.setattr(projection, "_built", {})
     catalog.queries()[name](spark, sf).count()
     assert projection._built and not any({"ends", "vertices", "_whole"} & set(vars(g)) for g in projection._built.values())
+
+
+#: Queries that need the whole graph's triangles, not its edge table.
+UNBUILT = """
+triangle_count
+edge_support
+""".split()
+
+
+@pytest.mark.parametrize("name", UNBUILT)
+def test_triangles_build_no_edge_table(spark, sf, monkeypatch, name):
+    monkeypatch.setattr(projection, "_built", {})
+    catalog.queries()[name](spark, sf).count()
+    assert projection._built and not any("_whole" in vars(g) for g in projection._built.values())
