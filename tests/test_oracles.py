@@ -77,6 +77,7 @@ def test_no_whole_graph_is_built(spark, sf, monkeypatch, name):
 #: Queries that need the whole graph's triangles, not its edge table.
 UNBUILT = """
 triangle_count
+triangle_index
 edge_support
 """.split()
 
