@@ -54,6 +54,7 @@ def test_entry_points_without_a_dependency(monkeypatch):
 #: Queries whose candidates need no more than a part of the graph.
 PARTIAL = """
 neighbor_safety
+estimate_end_to_end
 cs_mode_triangles
 cs_refined_r2
 graph_sample_estimate
