@@ -225,3 +225,20 @@ def test_triangles_in_slices(spark, monkeypatch, slices):
     assert rows_of(motifs.edge_support(g)) == rows_of(motifs.edge_support(whole))
     assert rows_of(motifs.triangle_index(g)) == rows_of(motifs.triangle_index(whole))
     assert "_whole" not in vars(g)
+
+
+@pytest.mark.parametrize("p", [cycle(0, 1, 2), Pattern((0, 1, 0, 2), ((0, 1, 0), (0, 3, 0), (1, 2, 0), (1, 3, 0), (2, 3, 0))), Pattern((0, 1, 2, 0), ((0, 1, 0), (0, 2, 0), (1, 2, 0), (2, 3, 0)))])
+def test_triangle_filter_shuffles_no_edge_outside_triangles(small, monkeypatch, p):
+    """Only candidate edges in a triangle of the data are joined with triangles; what is left is as by brute force."""
+    g, _, linked = small
+    both, seen = linked | {(b, a) for a, b in linked}, []
+    monkeypatch.setattr(candidates, "near_triangles", lambda *a, f=candidates.near_triangles: seen.append(f(*a)) or seen[-1])
+    space = candidates.build(g, p, Structure.TRIANGLES, max_rounds=0)
+    edges = {tuple(r) for r in space.edges.collect()}
+    found = {tuple(r) for r in candidates.triangle_filter(p, space.edges, motifs.triangle_index(g)).collect()}
+    thirds = {(a, b): sum(t[:2] == (a, b) for t in p.triangles) for a, b in p.edge_label}
+    common = lambda s, d: sum((s, w) in both and (d, w) in both for w in range(24))
+    whole = lambda a, b, s, d: all(any((a, w, s, v) in edges and (b, w, d, v) in edges for v in range(24)) for x, y, w in p.triangles if (x, y) == (a, b))
+    assert found == {e for e in edges if whole(*e) and common(*e[2:]) >= thirds[e[:2]]}
+    assert {tuple(r) for r in seen[0].collect()} == {e for e in edges if thirds[e[:2]] and common(*e[2:])}
+    assert {(b, a, d, s) for a, b, s, d in found} == found
