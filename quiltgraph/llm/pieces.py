@@ -26,7 +26,11 @@ from . import common
 MARK = "▁"  # stands for a space in pieces
 #: Longer words are encoded in the stream without the memo.
 MEMO_WORD = 48
+#: First characters of a word whose paths are kept for other words.
+HEAD = 6
 UNIGRAM, BPE = 1, 2
+#: The score of a merge that there is not.
+NEVER = float("-inf")
 
 
 def fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -69,7 +73,8 @@ class Codec:
         self.ids = {p: i for i, p in enumerate(self.names) if not (library.is_byte(i) or library.is_control(i) or library.is_unknown(i) or library.is_unused(i))}
         self.bytes = {int(p[1:-1], 16): i for i, p in enumerate(self.names) if library.is_byte(i)}
         self.longest = max(map(len, self.ids))
-        self.tails = {p[i:] for p in self.ids for i in range(len(p))}
+        #: The ids of pieces, and -1 for what is only the end of a piece.
+        self.tails = dict.fromkeys((p[i:] for p in self.ids for i in range(len(p))), -1) | self.ids
         self.unknown = library.unk_id()
         self.unknown_score = min(self.scores[i] for i in self.ids.values()) - 10
         #: No piece holds a mark after another character: then words are apart.
@@ -77,7 +82,10 @@ class Codec:
         probe = " a  béﬁ "
         self.plain = library.normalize(probe) == MARK + probe.replace(" ", MARK)
         self.fits = common.Memo(self._fits)
-        self.word_ids = common.Memo(lambda word: np.fromiter(self.stream(word), np.int32).tobytes())
+        self.merges = common.Memo(self._merges)  # at most one for each piece
+        self.lengths = [*map(len, self.names), 1]  # the last for an unknown character
+        self.heads = common.Memo(lambda head: self._paths(head, [-1]))
+        self.word_ids = common.Memo(lambda word: (np.array(self.word(word), np.int32) if self.kind == BPE else np.fromiter(self.stream(word), np.int32)).tobytes())
         self.texts = [self._text(i) for i in range(n)]
 
     def normalize(self, text: str) -> str:
@@ -89,19 +97,61 @@ class Codec:
     def _fits(self, pair: int) -> bool:
         """Whether a piece can follow another (-1: none, or an unknown character); the pair is coded as a number."""
         before, piece = divmod(pair, len(self.names))
-        piece = self.names[piece]
-        return self.merged(piece) == [piece] if before < 1 else self.merged(self.names[before - 1] + piece) == [self.names[before - 1], piece]
+        after = self.merges[self.names[piece]]
+        if before < 1 or after is None:
+            return after is not None
+        if (first := self.merges[self.names[before - 1]]) is None:
+            return False
+        # merges on each side go on alone until one across the boundary has a better score, or the same further left
+        (left, _, ends), (right, starts, _), ids, scores, i, j = first, after, self.ids, self.scores, 0, 0
+        while True:
+            across = ids.get(ends[i] + starts[j])
+            if across is not None and scores[across] > left[i] and scores[across] >= right[j]:
+                return False
+            if left[i] < right[j]:
+                j += 1
+            elif left[i] == NEVER:
+                return True
+            else:
+                i += 1
+
+    def _merges(self, piece: str) -> tuple[list[float], list[str], list[str]] | None:
+        """Scores of the merges that make a piece, in turn and :data:`NEVER` at the end, with the first and last part before each; None if merging does not."""
+        steps: list[tuple[float, str, str]] = []
+        return tuple(map(list, zip(*steps))) if self.merged(piece, steps) == [piece] else None
 
-    def merged(self, text: str) -> list[str]:
-        """Pieces of a short text by merging, each time, the neighbours with the best joined piece, leftmost first."""
+    def merged(self, text: str, steps: list[tuple[float, str, str]] | None = None) -> list[str]:
+        """Pieces of a short text by merging, each time, the neighbours with the best joined piece, leftmost first; ``steps`` as :meth:`_merges` has them."""
         parts = list(text)
         while True:
             best = max(((self.scores[self.ids[a + b]], -i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.ids), default=None)
+            if steps is not None:
+                steps.append((NEVER if best is None else best[0], parts[0], parts[-1]))
             if best is None:
                 return parts
             i = -best[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
+    def word(self, text: str) -> list[int]:
+        """Ids of a short normalised text with a BPE model: as :meth:`stream`, in a window that holds all of it. Words share the paths of their first characters."""
+        last = self._paths(text, list(self.heads[text[:HEAD]]))
+        return self._numbers(text, last, [self.lengths[i] for i in last], len(text))
+
+    def _paths(self, text: str, last: list[int]) -> list[int]:
+        """``last``, the piece on the one path to each of the first boundaries (-1: an unknown character), continued to the end of a text."""
+        tails, fits, n = self.tails, self.fits, len(self.names)
+        for end in range(len(last), len(text) + 1):
+            piece = -1
+            for at in range(end - 1, -1, -1):
+                i = tails.get(text[at:end])
+                if i is None:
+                    break
+                if i >= 0 and fits[(last[at] + 1) * n + i]:
+                    piece = i
+                    break
+            last.append(piece)
+        return last
+
     def stream(self, text: Iterable[str]) -> Iterator[int]:
         """Ids of a normalised text, given as characters, committed as soon as all paths agree."""
         ids, scores, fits, tails, n, bpe = self.ids, self.scores, self.fits, self.tails, len(self.names), self.kind == BPE
@@ -115,11 +165,10 @@ class Codec:
             end = len(window)
             best, piece, width = None, -1, 1
             for at in range(end - 1, -1, -1):
-                p = window[at:]
-                if p not in tails:
-                    break
-                i = ids.get(p)
+                i = tails.get(window[at:])
                 if i is None:
+                    break
+                if i < 0:
                     continue
                 if bpe:
                     if fits[(last[at] + 1) * n + i]:  # the one path

@@ -192,6 +192,20 @@ def test_stream_holds_a_window(codec):
     assert lag <= 6 * codec.longest
 
 
+def test_pieces_are_merged_once_and_not_for_each_pair(docs, monkeypatch):
+    """op2: whether two pieces can be neighbours follows from the merges of each; words give what the stream gives."""
+    calls = []
+    monkeypatch.setattr(pieces.Codec, "merged", lambda self, text, *a, f=pieces.Codec.merged: calls.append(text) or f(self, text, *a))
+    c = pieces.Codec(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = [r.text or "" for r in docs.limit(200).collect()] + ["x\u0000é\U0001f600 aaaaaaa  \n\n-- ***"]
+    for text in texts:
+        assert c.encode(text).tolist() == list(c.stream(c.normalize(text)))
+    assert len(calls) == len(set(calls)) and set(calls) <= set(c.names)
+    for pair, fits in list(c.fits.items())[:3000]:
+        before, piece = (c.names[pair // len(c.names) - 1] if pair >= len(c.names) else ""), c.names[pair % len(c.names)]
+        assert fits == (c.merged(before + piece) == [x for x in (before, piece) if x])
+
+
 def test_pieces_query(spark, odd, empty, codec):
     got = pieces.encode(odd, public_tokenizers.path("piece_bpe_32k.model")).collect()
     assert sorted((str(r.doc_id), r.decoded) for r in got) == sorted((str(r.doc_id), r.text or "") for r in odd.collect())
